@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.common import Scratch, table
+from skyfold.llm.leaks import find_leaks
+from skyfold.llm.packing import pack
 from skyfold.llm.percentiles import combine, percentiles, summarize
 from skyfold.llm.permanent_numbers import NumberStore
 from skyfold.llm.reservoir import reservoir_sample
+from skyfold.llm.splitting import split_texts
 from skyfold.llm.top_items import top_items
 
 SHARES = (0.25, 0.5, 0.75, 0.9, 0.99)
 #: The share of the stars that the stable sample takes.
 STABLE_RATE = 0.05
+#: Tokens in a container, and of a piece and its overlap.
+CONTAINER, PIECE, OVERLAP = 2048, 512, 64
 
 
 def _measures() -> dict[str, F.Column]:
@@ -81,8 +86,31 @@ def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return store.sample(thresholds).select("dataset", "source_id", "u")
 
 
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", CONTAINER)
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    per = p8_pack(spark, sf).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    return per.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * CONTAINER)).alias("fill"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """A window without any edit is a run of twelve words of the item."""
+    return p9_leaks(spark, sf).where("edits = 0").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
+def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return split_texts(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", PIECE, OVERLAP)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p4_found, p4_top, p5_sample, p5_sizes, p7_sample)
+    f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p4_found, p4_top, p5_sample, p5_sizes, p7_sample, p8_pack, p8_fill, p9_found, p9_leaks, p10_pieces)
 }
 
 _MEASURES = """SELECT input_name, 'phot_g_mean_mag' AS field, phot_g_mean_mag::DOUBLE AS v FROM canonical_rows WHERE phot_g_mean_mag BETWEEN 0 AND 25
