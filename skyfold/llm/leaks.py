@@ -51,7 +51,7 @@ def _hash_words(run_length: int):
             h = known[coded.indices.to_numpy()].astype(np.uint64) if len(coded) else np.zeros(0, np.uint64)
             offsets = np.concatenate([[0], np.cumsum(n)])
             runs = np.zeros(len(h), np.uint64)
-            for k in range(run_length):
+            for k in range(min(run_length, len(h))):
                 runs[: len(h) - k] = (runs[: len(h) - k] ^ h[k:]) * np.uint64(0x9E3779B97F4A7C15)
                 runs ^= runs >> np.uint64(32)
             left = np.repeat(offsets[1:], n) - np.arange(len(h))
