@@ -39,28 +39,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", _FORMAT.sub("", text)).lower())
 
 
-def _hash_words(run_length: int):
-    """Per text: the hashes of its words, and of its runs of so many words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            per = [words_of(t) if t else [] for t in b.column(1).to_pylist()]
-            n = np.array([len(p) for p in per], np.int64)
-            coded = pa.array([w for p in per for w in p], pa.string()).dictionary_encode()
-            known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
-            h = known[coded.indices.to_numpy()].astype(np.uint64) if len(coded) else np.zeros(0, np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            runs = np.zeros(len(h), np.uint64)
-            for k in range(min(run_length, len(h))):
-                runs[: len(h) - k] = (runs[: len(h) - k] ^ h[k:]) * np.uint64(0x9E3779B97F4A7C15)
-                runs ^= runs >> np.uint64(32)
-            left = np.repeat(offsets[1:], n) - np.arange(len(h))
-            whole = left >= run_length
-            run_offsets = np.concatenate([[0], np.cumsum(np.maximum(n - run_length + 1, 0))])
-            cols = [b.column(0), pa.LargeListArray.from_arrays(offsets, h.view(np.int64)).cast(pa.list_(pa.int64())), pa.LargeListArray.from_arrays(run_offsets, runs[whole].view(np.int64)).cast(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "words", "runs"])
-
-    return run
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text the hashes of its words."""
+    for b in batches:
+        per = [words_of(t) if t else [] for t in b.column(1).to_pylist()]
+        coded = pa.array([w for p in per for w in p], pa.string()).dictionary_encode()
+        known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
+        h = known[coded.indices.to_numpy()] if len(coded) else known
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in per])]).astype(np.int64)
+        words = pa.LargeListArray.from_arrays(offsets, h.astype(np.uint64).view(np.int64)).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), words], names=["id", "words"])
 
 
 def edit_distances(patterns: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -112,19 +100,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     def hashed(df: DataFrame, ident: str, name: str) -> DataFrame:
         kind = df.schema[ident].dataType.simpleString()
         rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))
-        return scratch.write(rows.mapInArrow(_hash_words(size), f"id {kind}, words array<bigint>, runs array<bigint>"), name)
+        return scratch.write(rows.mapInArrow(_hash_words, f"id {kind}, words array<bigint>"), name)
 
     corpus, tests = hashed(docs, doc, "corpus").withColumnRenamed("id", "doc"), hashed(items, item, "tests").withColumnRenamed("id", "item")
-    pieces = tests.select("item", F.size("words").alias("__len"), F.posexplode("runs").alias("__ipos", "__run"))
-    hits = corpus.select("doc", F.posexplode("runs").alias("__dpos", "__run")).join(maybe_broadcast(pieces), "__run")
+    starts = F.sequence(F.lit(1), F.size("words") - size + 1)
+    runs = F.transform(starts, lambda k: F.xxhash64(F.slice("words", k, size)))
+    long_enough = F.size("words") >= words
+    pieces = tests.where(long_enough).select("item", F.size("words").alias("__len"), F.posexplode(runs).alias("__ipos", "__run"))
+    hits = corpus.where(F.size("words") >= size).select("doc", F.posexplode(runs).alias("__dpos", "__run")).join(maybe_broadcast(pieces), "__run").drop("__run")
+    # Documents first, then the items, so that what is shuffled is four numbers a hit.
+    sides = hits.join(corpus, "doc").join(maybe_broadcast(tests.withColumnRenamed("words", "__iwords"), 20_000), "item")
     # The piece may be any of the window's budget + 1; its place gives the window and where the document would hold it.
-    place = F.explode(F.sequence(F.lit(0), F.lit(budget * size), F.lit(size))) if budget else F.lit(0)
-    spots = hits.withColumn("__at", place).select("doc", "item", "__len", (F.col("__ipos") - F.col("__at")).alias("__window"), (F.col("__dpos") - F.col("__at") - budget).alias("__start"))
-    spots = spots.where((F.col("__window") >= 0) & (F.col("__window") + words <= F.col("__len"))).drop("__len").distinct()
+    sides = sides.withColumn("__at", F.explode(F.array(*[F.lit(k * size) for k in range(budget + 1)])))
+    window, start = F.col("__ipos") - F.col("__at"), F.col("__dpos") - F.col("__at") - budget
+    sides = sides.where((window >= 0) & (window + words <= F.col("__len")))
     reach = words + 2 * budget
-    first = F.greatest(F.col("__start"), F.lit(0))
-    sides = spots.join(maybe_broadcast(tests.select("item", F.col("words").alias("__iwords")), 20_000), "item").join(corpus.select("doc", "words"), "doc")
-    sides = sides.select("doc", "item", F.slice("__iwords", F.col("__window") + 1, F.lit(words)), F.slice("words", first + 1, F.col("__start") + reach - first))
+    first = F.greatest(start, F.lit(0))
+    sides = sides.select("doc", "item", F.slice("__iwords", window + 1, F.lit(words)).alias("p"), F.slice("words", first + 1, start + reach - first).alias("t"))
+    # An edit loses one word of the window at most.
+    sides = sides.where(F.size(F.array_except("p", "t")) <= budget)
     kinds = f"doc {docs.schema[doc].dataType.simpleString()}, item {items.schema[item].dataType.simpleString()}, edits long"
     found = sides.mapInArrow(_verify(words, reach), kinds).where(F.col("edits") <= budget)
     return found.groupBy("doc", "item").agg(F.min("edits").alias("edits")).select(F.col("doc").alias(doc), F.col("item").alias(item), "edits")
