@@ -33,7 +33,7 @@ _FIELD = r'(?:"(?:[^"\r\n]|"")*"|[^",\r\n]*)'
 WELL_QUOTED = rf"^{_FIELD}(?:,{_FIELD})*$"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[nN][aA][nN]$"
 DIGITS = r"^[0-9]+$"
-BLOCK, ALONE = 512, 4
+BLOCK, ALONE, GATHER = 512, 4, 200_000
 
 #: Columns of a catalogue file: whole (id), number (must be there) or maybe (may be empty or null).
 STAR_COLUMNS = {"source_id": "whole", "ra": "number", "dec": "number", "parallax": "maybe", "parallax_error": "number", "phot_g_mean_mag": "maybe", "bp_rp": "maybe"}
@@ -145,8 +145,19 @@ def _parse(columns: Mapping[str, str]):
             values = [pa.array([b[2][k] for b in bad], t) for k, t in enumerate(types)]
             yield out(pa.array([b[0] for b in bad]), values, pa.array([b[1] for b in bad], pa.string()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= GATHER:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):  # lines of many files lie mixed; more of them give larger blocks
             heads = b.column(3).dictionary_encode()
             code = heads.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             for c in np.unique(code):
