@@ -1,6 +1,6 @@
 """Text lines of CSV files, read by header name, with the lines that fail set apart and the reason.
 
-Blocks of lines that share a header are parsed at once by Arrow's column reader and checked column by column; a block
+Blocks of lines with as many columns are parsed at once by Arrow's column reader and checked column by column; a block
 that fails in any way is cut in two until the bad lines are alone, and those few are diagnosed one by one by the strict
 rules. The strict rules decide: a line that they accept comes out as a row, however it came to be alone.
 
@@ -33,7 +33,7 @@ _FIELD = r'(?:"(?:[^"\r\n]|"")*"|[^",\r\n]*)'
 WELL_QUOTED = rf"^{_FIELD}(?:,{_FIELD})*$"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[nN][aA][nN]$"
 DIGITS = r"^[0-9]+$"
-BLOCK, ALONE, GATHER = 512, 4, 200_000
+BLOCK, ALONE, GATHER = 256, 8, 200_000
 
 #: Columns of a catalogue file: whole (id), number (must be there) or maybe (may be empty or null).
 STAR_COLUMNS = {"source_id": "whole", "ra": "number", "dec": "number", "parallax": "maybe", "parallax_error": "number", "phot_g_mean_mag": "maybe", "bp_rp": "maybe"}
@@ -93,57 +93,57 @@ def diagnose(line: str, header: list[str], columns: Mapping[str, str]) -> tuple[
     return None, values
 
 
-def _bulk(lines: pa.Array, header: list[str], columns: Mapping[str, str]) -> list[pa.Array] | None:
-    """All columns of a block, or None if any line of it might fail."""
-    if any(c not in header for c in columns) or not pc.all(pc.match_substring_regex(lines, WELL_QUOTED)).as_py():
+def _read_fields(lines: pa.Array, width: int) -> pa.Array | None:
+    """All fields of a block of lines with `width` columns, column after column, or None if a line might not fit."""
+    if not pc.all(pc.match_substring_regex(lines, WELL_QUOTED)).as_py():
         return None
     text = "\n".join(lines.to_pylist()).encode()
+    names = [str(i) for i in range(width)]
     try:
         t = csv.read_csv(
             io.BytesIO(text),
-            read_options=csv.ReadOptions(column_names=[str(i) for i in range(len(header))], block_size=len(text) + 2, use_threads=False),
+            read_options=csv.ReadOptions(column_names=names, block_size=len(text) + 2, use_threads=False),
             parse_options=csv.ParseOptions(ignore_empty_lines=False),
-            convert_options=csv.ConvertOptions(column_types={str(i): pa.string() for i in range(len(header))}, include_columns=[str(header.index(c)) for c in columns], strings_can_be_null=False),
+            convert_options=csv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False),
         )
-        if t.num_rows != len(lines):
-            return None
-        out = []
-        for name, kind in columns.items():
-            v = pc.utf8_trim_whitespace(t[str(header.index(name))].combine_chunks())
-            if kind == "maybe":
-                v = pc.if_else(pc.is_in(v, pa.array(["", "null"])), None, v)
-            fits = pc.match_substring_regex(v, DIGITS if kind == "whole" else NUMBER)
-            if not pc.all(pc.fill_null(fits, True)).as_py():
+    except pa.ArrowInvalid:
+        return None
+    return pa.concat_arrays([c for n in names for c in t[n].chunks]) if t.num_rows == len(lines) else None
+
+
+def _bulk(lines: pa.Array, width: int, place: np.ndarray, kinds: list[str]) -> list[pa.Array] | None:
+    """The wanted values of a block, or None if any line might fail. place: each line's field numbers of the wanted columns."""
+    fields = _read_fields(lines, width)
+    if fields is None:
+        return None
+    rows = np.arange(len(lines))
+    pick = lambda ks: pc.utf8_trim_whitespace(fields.take(pa.array(np.concatenate([place[:, k] * len(lines) + rows for k in ks]))))
+    out: list = [None] * len(kinds)
+    try:
+        for whole in (True, False):
+            # Columns of a kind are checked and converted at once; those that may be missing come first.
+            ks = sorted((k for k, kind in enumerate(kinds) if (kind == "whole") == whole), key=lambda k: kinds[k] != "maybe")
+            if not ks:
+                continue
+            v = pick(ks)
+            maybe = sum(kinds[k] == "maybe" for k in ks) * len(lines)
+            if maybe:
+                head = v.slice(0, maybe)
+                v = pa.concat_arrays([pc.if_else(pc.is_in(head, pa.array(["", "null"])), None, head), v.slice(maybe)])
+            if not pc.all(pc.match_substring_regex(v, DIGITS if whole else NUMBER)).as_py():
                 return None
-            out.append(v.cast(pa.int64()) if kind == "whole" else pc.ascii_lower(pc.utf8_ltrim(v, "+")).cast(pa.float64()))
-        return out
+            v = v.cast(pa.int64()) if whole else pc.ascii_lower(pc.utf8_ltrim(v, "+")).cast(pa.float64())
+            for n, k in enumerate(ks):
+                out[k] = v.slice(n * len(lines), len(lines))
     except pa.ArrowInvalid:
         return None
+    return out
 
 
 def _parse(columns: Mapping[str, str]):
-    types = [pa.int64() if k == "whole" else pa.float64() for k in columns.values()]
-
-    def block(batch: pa.RecordBatch, header: list[str] | None) -> Iterator[pa.RecordBatch]:
-        ids, files, lines = batch.column(0), batch.column(1), batch.column(2)
-
-        def out(at, values, reasons):
-            return pa.RecordBatch.from_arrays([ids.take(at), files.take(at), *values, reasons], names=["id", "file", *columns, "reason"])
-
-        bad: list[tuple[int, str | None, list]] = []
-        todo = [(a, min(a + BLOCK, len(lines))) for a in range(0, len(lines), BLOCK)]
-        while todo:
-            a, z = todo.pop()
-            values = _bulk(lines.slice(a, z - a), header, columns) if header and z - a > ALONE else None
-            if values is not None:
-                yield out(pa.array(np.arange(a, z)), values, pa.nulls(z - a, pa.string()))
-            elif z - a > ALONE and header:
-                todo += [(a, (a + z) // 2), ((a + z) // 2, z)]
-            else:
-                bad += [(i, *(diagnose(lines[i].as_py(), header, columns) if header else ("no_header", [None] * len(columns)))) for i in range(a, z)]
-        if bad:
-            values = [pa.array([b[2][k] for b in bad], t) for k, t in enumerate(types)]
-            yield out(pa.array([b[0] for b in bad]), values, pa.array([b[1] for b in bad], pa.string()))
+    kinds = list(columns.values())
+    types = [pa.int64() if k == "whole" else pa.float64() for k in kinds]
+    names = ["id", "file", *columns, "reason"]
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -157,15 +157,33 @@ def _parse(columns: Mapping[str, str]):
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches):  # lines of many files lie mixed; more of them give larger blocks
+        for b in gathered(batches):
             heads = b.column(3).dictionary_encode()
             code = heads.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            for c in np.unique(code):
-                h = None
-                if c >= 0:
-                    text = heads.dictionary[int(c)].as_py()
-                    h = [x.strip() for x in split_fields(text) or text.split(",")]
-                yield from block(b.take(pa.array(np.flatnonzero(code == c))), h)
+            parts = [[x.strip() for x in split_fields(h) or h.split(",")] for h in heads.dictionary.to_pylist()]
+            place = np.array([[p.index(c) if c in p else -1 for c in columns] for p in parts] or [[-1] * len(columns)], np.int64)
+            widths = np.array([len(p) if (at >= 0).all() else 0 for p, at in zip(parts, place)] or [0])
+            width = np.where(code < 0, 0, widths[code])
+            strict: list[int] = list(np.flatnonzero(width == 0))
+            for w in np.unique(width[width > 0]):  # lines of files with as many columns share blocks, whatever their order
+                rows = np.flatnonzero(width == w)
+                lines = b.column(2).take(pa.array(rows))
+                todo = [(a, min(a + BLOCK, len(rows))) for a in range(0, len(rows), BLOCK)]
+                while todo:
+                    a, z = todo.pop()
+                    values = _bulk(lines.slice(a, z - a), int(w), place[code[rows[a:z]]], kinds) if z - a > ALONE else None
+                    if values is not None:
+                        at = pa.array(rows[a:z])
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *values, pa.nulls(z - a, pa.string())], names=names)
+                    elif z - a > ALONE:
+                        todo += [(a, (a + z) // 2), ((a + z) // 2, z)]
+                    else:
+                        strict += list(rows[a:z])
+            if strict:
+                at = pa.array(np.array(strict, np.int64))
+                found = [diagnose(t, parts[code[i]], columns) if code[i] >= 0 else ("no_header", [None] * len(columns)) for i, t in zip(strict, b.column(2).take(at).to_pylist())]
+                values = [pa.array([f[1][k] for f in found], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *values, pa.array([f[0] for f in found], pa.string())], names=names)
 
     return run
 
