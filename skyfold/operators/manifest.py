@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -88,3 +88,24 @@ def execution_states(executions: DataFrame, doc: str = "json") -> DataFrame:
     state = F.when(completed["status"] == "True", "succeeded").when(completed["status"].isNull() | (completed["status"] == "Unknown"), "running").otherwise("failed")
     s, r, f = n("__e.status.succeededCount"), n("__e.status.runningCount"), n("__e.status.failedCount")
     return e.select(*executions.columns, state.alias("state"), s.alias("succeeded"), r.alias("running"), f.alias("failed"), F.greatest(n("__e.spec.taskCount") - s - r - f, F.lit(0)).alias("pending"))
+
+
+def ingest(spark: SparkSession, rows: DataFrame, rows_path: str, log_path: str, sums: DataFrame | None = None) -> int:
+    """Store the rows with positive parallax of files that the log doesn't hold with the same checksum; the number of files stored.
+
+    Rows go to a folder per file, which a file with new content replaces; the log is written after them, so an entry
+    means that its rows are there. A rerun finds nothing to do.
+    """
+    files = rows.select("input_name").distinct()
+    files = files.join(sums.select("input_name", "md5"), "input_name", "left") if sums is not None else files.withColumn("md5", F.lit(None).cast("string"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log_path)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        done = spark.read.parquet(log_path).select(F.col("input_name").alias("__n"), F.col("md5").alias("__m"))
+        files = files.join(done, (F.col("input_name") == F.col("__n")) & F.col("md5").eqNullSafe(F.col("__m")), "left_anti")
+    work = rows.join(maybe_broadcast(files), "input_name")
+    positive = F.col("parallax").isNotNull() & ~(F.col("parallax") <= 0)
+    entries = work.groupBy("input_name", "md5").agg(F.count("*").alias("rows_seen"), F.count_if(positive).alias("rows_written"), F.current_timestamp().alias("ingestion_finished_at")).collect()
+    if entries:
+        work.where(positive).drop("md5").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("input_name").parquet(rows_path)
+        spark.createDataFrame(entries, "input_name string, md5 string, rows_seen long, rows_written long, ingestion_finished_at timestamp").write.mode("append").parquet(log_path)
+    return len(entries)
