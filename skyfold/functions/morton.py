@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 10
@@ -33,18 +33,28 @@ def deinterleave(code: Column, depth: int) -> tuple[Column, Column, Column]:
     return tuple(axes)
 
 
-def cell_of(x: Column, y: Column, z: Column, half: float, depth: int) -> Column:
-    """Morton code of the leaf cell; NULL if a coordinate is outside or missing."""
-    i = [axis_index(c, half, depth) for c in (x, y, z)]
-    return F.when(i[0].isNotNull() & i[1].isNotNull() & i[2].isNotNull(), interleave(*i, depth))
+def with_cell(df: DataFrame, name: str, x: str, y: str, z: str, half: float, depth: int) -> DataFrame:
+    """df with the Morton code of the leaf cell; NULL if a coordinate is outside or missing.
+
+    Cell numbers are columns of their own first, so that their bits don't repeat the arithmetic.
+    """
+    parts = ["__ix", "__iy", "__iz"]
+    df = df.withColumns({p: axis_index(F.col(c), half, depth) for p, c in zip(parts, (x, y, z))})
+    i = [F.col(p) for p in parts]
+    return df.withColumn(name, interleave(*i, depth)).drop(*parts)
 
 
 def prefix_at(code: Column, leaf_depth: int, depth: int) -> Column:
     return F.shiftright(code, 3 * (leaf_depth - depth))
 
 
-def bounds(depth: Column, prefix: Column, half: float, max_depth: int = MAX_DEPTH) -> dict[str, Column]:
-    """The box of a cell: x0, y0, z0, x1, y1, z1."""
-    side = F.lit(2 * half) / F.pow(F.lit(2.0), depth)
-    low = [F.lit(-half) + i * side for i in deinterleave(prefix, max_depth)]
-    return dict(zip(("x0", "y0", "z0", "x1", "y1", "z1"), [*low, *[c + side for c in low]]))
+def with_bounds(df: DataFrame, half: float, depth: str = "depth", prefix: str = "prefix", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """df with the box of each cell: x0, y0, z0, x1, y1, z1."""
+    side = F.lit(2 * half) / F.pow(F.lit(2.0), F.col(depth))
+    df = df.withColumns({f"{a}0": F.lit(-half) + i * side for a, i in zip("xyz", deinterleave(F.col(prefix), max_depth))})
+    return df.withColumns({f"{a}1": F.col(f"{a}0") + side for a in "xyz"})
+
+
+def box() -> dict[str, Column]:
+    """The columns that with_bounds adds."""
+    return {f"{a}{e}": F.col(f"{a}{e}") for a in "xyz" for e in "01"}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyfold.common import maybe_broadcast
+from skyfold.common import Scratch, maybe_broadcast
 from skyfold.functions import morton as M
 from skyfold.functions.camera import Camera
 from skyfold.functions.hashing import unsigned_order, with_node_seed, with_splitmix64
@@ -59,9 +59,10 @@ def layout(stars: DataFrame, keys: Sequence[str], leaf: str, depth: int, k: int)
 
     Points lie in preorder; a leaf has all its stars, an inner node k samples if it covers more than k stars, else none.
     Nodes are numbered by the preorder of their parents, so that the children of a node are contiguous; the root is 0.
+    Counts and the table itself are written, as an index is: the walks over it read it many times.
     """
-    keys = list(keys)
-    counts = level_counts(stars, keys, leaf, depth)
+    keys, scratch = list(keys), Scratch(stars.sparkSession)
+    counts = scratch.write(level_counts(stars, keys, leaf, depth), "counts")
     nodes = counts.join(child_masks(counts, keys), [*keys, "depth", "prefix"], "left").withColumn("child_mask", F.coalesce("child_mask", F.lit(0)))
     nodes = nodes.withColumn("point_count", F.when(F.col("depth") == depth, F.col("n")).when(F.col("n") > k, F.lit(k)).otherwise(0).cast("long"))
     pre = F.call_function("shiftleft", F.col("prefix"), (3 * (depth - F.col("depth"))).cast("int"))
@@ -70,6 +71,7 @@ def layout(stars: DataFrame, keys: Sequence[str], leaf: str, depth: int, k: int)
     nodes = _sum_before(nodes, keys, F.shiftright("__pre", far), ["__pre", "depth"], F.col("point_count"), "point_first")
     nodes = nodes.withColumn("__up", F.when(F.col("depth") > 0, F.col("__up")).otherwise(F.lit(-1).cast("long")))
     nodes = _sum_before(nodes, keys, F.shiftright("__up", far), ["__up", "depth", "prefix"], F.lit(1), "node")
+    nodes = scratch.write(nodes.drop("__pre", "__up"), "nodes")
     first = nodes.where("depth > 0").groupBy(*keys, (F.col("depth") - 1).alias("depth"), F.shiftright("prefix", 3).alias("prefix")).agg(F.min("node").alias("first_child"))
     nodes = nodes.join(first, [*keys, "depth", "prefix"], "left").withColumn("first_child", F.coalesce("first_child", F.lit(0)))
     return nodes.select(*keys, "node", "depth", "prefix", "n", "child_mask", "first_child", "point_first", "point_count")
@@ -128,8 +130,7 @@ def subtree_counts(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_view(nodes: DataFrame, camera: Camera, half: float, pixels: float) -> DataFrame:
     """Adds seen (the box meets the view), footprint (pixels) and terminal (a leaf, or small and sampled)."""
-    box = M.bounds(F.col("depth"), F.col("prefix"), half)
-    out = nodes.withColumns({"seen": camera.sees_box(box), "footprint": camera.footprint(box)})
+    out = M.with_bounds(nodes, half).withColumns({"seen": camera.sees_box(M.box()), "footprint": camera.footprint(M.box())}).drop(*M.box())
     return out.withColumn("terminal", (F.col("child_mask") == 0) | ((F.col("footprint") < pixels) & (F.col("point_count") > 0)))
 
 
@@ -190,6 +191,5 @@ def radius_query(stars: DataFrame, code: str, depth: int, half: float, centre: S
 
 def cells_meeting_sphere(nodes: DataFrame, half: float, centre: Sequence[float], radius: float) -> DataFrame:
     """Nodes whose box comes within radius of centre."""
-    box = M.bounds(F.col("depth"), F.col("prefix"), half)
-    gaps = [F.greatest(box[f"{a}0"] - c, c - box[f"{a}1"], F.lit(0.0)) for a, c in zip("xyz", centre)]
-    return nodes.where(reduce(lambda a, b: a + b, [g * g for g in gaps]) <= radius * radius)
+    gaps = [F.greatest(F.col(f"{a}0") - c, c - F.col(f"{a}1"), F.lit(0.0)) for a, c in zip("xyz", centre)]
+    return M.with_bounds(nodes, half).where(reduce(lambda a, b: a + b, [g * g for g in gaps]) <= radius * radius).drop(*M.box())

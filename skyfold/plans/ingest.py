@@ -30,7 +30,7 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
     good = rows.withColumn("quality", q).where(F.col("quality") >= A.MIN_QUALITY)
     x, y, z = A.cartesian(F.col("ra"), F.col("dec"), F.col("parallax"))
     good = good.withColumns({"x": x, "y": y, "z": z, "luminosity": A.luminosity(F.col("parallax"), F.col("phot_g_mean_mag"))})
-    return good.withColumn("leaf", M.cell_of(F.col("x"), F.col("y"), F.col("z"), HALF, DEPTH))
+    return M.with_cell(good, "leaf", "x", "y", "z", HALF, DEPTH)
 
 
 def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,8 +67,8 @@ def test_morton_round_trip(spark):
 def test_cells_and_their_boxes(spark):
     edge = math.nextafter(20000.0, 0)
     pts = [(0.0, 0.0, 0.0), (edge, -20000.0, 20000.0), (20000.1, 0.0, 0.0), (float("nan"), 0.0, 0.0), (None, 0.0, 0.0)]
-    df = spark.createDataFrame(pts, "x double, y double, z double").withColumn("leaf", M.cell_of(F.col("x"), F.col("y"), F.col("z"), 20000.0, 7))
-    rows = df.withColumn("depth", F.lit(7)).select("*", *[c.alias(n) for n, c in M.bounds(F.col("depth"), F.col("leaf"), 20000.0).items()]).collect()
+    df = M.with_cell(spark.createDataFrame(pts, "x double, y double, z double"), "leaf", "x", "y", "z", 20000.0, 7)
+    rows = M.with_bounds(df.withColumn("depth", F.lit(7)), 20000.0, "depth", "leaf").collect()
     assert [r.leaf is None for r in rows] == [False, False, True, True, True]
     for r in rows[:2]:
         assert all(r[f"{a}0"] <= r[a] <= r[f"{a}1"] for a in "xyz")
@@ -76,8 +76,8 @@ def test_cells_and_their_boxes(spark):
 
 def test_stored_cells_follow_from_positions(spark, sf):
     p = spark.read.parquet(f"{sf}/points.parquet").where("morton is not null")
-    code = M.cell_of(A.d("x"), A.d("y"), A.d("z"), A.half_extent(), 9)
-    assert p.where(code != F.col("morton")).count() <= 0.001 * p.count()
+    again = M.with_cell(p.withColumns({c: A.d(c) for c in "xyz"}), "code", "x", "y", "z", A.half_extent(), 9)
+    assert again.where("code <> morton").count() <= 0.001 * p.count()
 
 
 def mix(x):
@@ -112,7 +112,7 @@ def test_sample_keeps_light_and_small_nodes_have_none(spark):
 
 def test_small_tree(spark):
     at = [(-5, -5, -5), (5, -5, -5), (-5, 5, -5), (5, 5, 5)]
-    df = spark.createDataFrame([("t", i, *map(float, p), 1.0, 0.0, 0) for i, p in enumerate(at)], STARS).drop("leaf").withColumn("leaf", M.cell_of(F.col("x"), F.col("y"), F.col("z"), 10.0, 1))
+    df = M.with_cell(spark.createDataFrame([("t", i, *map(float, p), 1.0, 0.0, 0) for i, p in enumerate(at)], STARS).drop("leaf"), "leaf", "x", "y", "z", 10.0, 1)
     n = T.layout(df, ["k"], "leaf", 1, 2).orderBy("node").collect()
     assert len(n) == 5 and bin(n[0].child_mask).count("1") == 4 and n[0].point_count == 2 and [x.point_count for x in n[1:]] == [1] * 4
     assert T.all_points(df, ["k"], "leaf", "source_id", 1, 2).count() == 6
