@@ -192,4 +192,4 @@ def radius_query(stars: DataFrame, code: str, depth: int, half: float, centre: S
 def cells_meeting_sphere(nodes: DataFrame, half: float, centre: Sequence[float], radius: float) -> DataFrame:
     """Nodes whose box comes within radius of centre."""
     gaps = [F.greatest(F.col(f"{a}0") - c, c - F.col(f"{a}1"), F.lit(0.0)) for a, c in zip("xyz", centre)]
-    return M.with_bounds(nodes, half).where(reduce(lambda a, b: a + b, [g * g for g in gaps]) <= radius * radius).drop(*M.box())
+    return M.with_bounds(nodes, half).where(reduce(lambda a, b: a + b, [F.pow(g, F.lit(2.0)) for g in gaps]) <= radius * radius).drop(*M.box())

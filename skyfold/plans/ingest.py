@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.common import Scratch, table
@@ -33,6 +33,14 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
     return M.with_cell(good, "leaf", "x", "y", "z", HALF, DEPTH)
 
 
+def in_cube() -> Column:
+    """Has a leaf. Said of the coordinates, as a filter on the leaf would repeat its bits at the scan."""
+    ok = F.lit(True)
+    for c in "xyz":
+        ok = ok & (F.abs(c) <= HALF)
+    return ok
+
+
 def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = canonical(spark, sf)
     finite_q = A.parallax_quality(F.col("parallax"), F.col("parallax_error"))
@@ -60,14 +68,14 @@ def luminosity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def morton_cells(spark: SparkSession, sf: str) -> DataFrame:
-    p = positions(spark, sf).where("leaf is not null")
+    p = positions(spark, sf).where(in_cube())
     i = M.deinterleave(F.col("leaf"), DEPTH)
     return p.select("source_id", "leaf", *[c.alias(n) for c, n in zip(i, ("ix", "iy", "iz"))]).distinct()
 
 
 def octant_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Stars and light by octant: scan, quality, positions, cells, one aggregation."""
-    p = positions(spark, sf).where("leaf is not null and luminosity is not null")
+    p = positions(spark, sf).where(in_cube() & F.col("luminosity").isNotNull())
     return p.groupBy(M.prefix_at(F.col("leaf"), DEPTH, 1).alias("octant")).agg(F.count("*").alias("n"), F.round(F.sum("luminosity"), 2).alias("light"))
 
 
@@ -83,7 +91,7 @@ def build_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def galactic_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Stars on a map of 64 by 64 cells seen from the galactic north."""
-    p = positions(spark, sf).where("leaf is not null")
+    p = positions(spark, sf).where(in_cube())
     right, up = galactic_axes()
     gx, gy = (sum(F.col(c) * k for c, k in zip("xyz", axis)) for axis in (right, up))
     col, row = F.floor((gx / HALF + 1) * 0.5 * 64), F.floor((1 - (gy / HALF + 1) * 0.5) * 64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.common import table
+from skyfold.common import Scratch, table
 from skyfold.functions.camera import Camera, default_exposure, galactic_view
 from skyfold.operators import octree as T
 from skyfold.operators import raster as R
@@ -20,7 +20,8 @@ PIXELS = 16.0
 
 
 def viewed(spark: SparkSession, sf: str, camera: Camera = INSIDE) -> DataFrame:
-    return T.with_view(tree.nodes(spark, sf), camera, tree.HALF, PIXELS)
+    """The node table with what the camera makes of each node, written once for the walks that follow."""
+    return Scratch(spark).write(T.with_view(tree.nodes(spark, sf), camera, tree.HALF, PIXELS), "viewed")
 
 
 def frustum_leaves(spark: SparkSession, sf: str) -> DataFrame:
