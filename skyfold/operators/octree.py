@@ -193,3 +193,11 @@ def cells_meeting_sphere(nodes: DataFrame, half: float, centre: Sequence[float],
     """Nodes whose box comes within radius of centre."""
     gaps = [F.greatest(F.col(f"{a}0") - c, c - F.col(f"{a}1"), F.lit(0.0)) for a, c in zip("xyz", centre)]
     return M.with_bounds(nodes, half).where(reduce(lambda a, b: a + b, [F.pow(g, F.lit(2.0)) for g in gaps]) <= radius * radius).drop(*M.box())
+
+
+def cache_delta(wanted: DataFrame, cached: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a client does with its nodes when the view changes: rows (keys, depth, prefix, action) with fetch, keep or evict."""
+    ids = [*keys, "depth", "prefix"]
+    new, old = (df.select(*ids).distinct().withColumn(c, F.lit(1)) for df, c in ((wanted, "__new"), (cached, "__old")))
+    action = F.when(F.col("__old").isNull(), "fetch").when(F.col("__new").isNull(), "evict").otherwise("keep")
+    return new.join(old, ids, "full_outer").select(*ids, action.alias("action"))

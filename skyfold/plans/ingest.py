@@ -60,7 +60,7 @@ def quality_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cartesian(spark: SparkSession, sf: str) -> DataFrame:
-    return positions(spark, sf).select("source_id", *[F.round(c, 4).alias(c) for c in "xyz"]).distinct()
+    return positions(spark, sf).select("source_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in "xyz"]).distinct()
 
 
 def luminosity(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
     "ingest_counts": f"WITH {_C} SELECT input_name, count(*) AS seen, count(*) FILTER (parallax IS NOT NULL AND NOT (parallax <= 0)) AS positive, count(*) FILTER (q >= 5) AS good FROM c GROUP BY 1",
     "quality_filter": f"WITH {_C} SELECT source_id, round(max(q), 6) AS quality FROM c WHERE q >= 5 GROUP BY 1",
     "quality_hist": f"WITH {_C} SELECT CASE WHEN q IS NULL THEN 100 ELSE least(floor(q), 100)::BIGINT END AS bucket, count(*) AS n FROM c GROUP BY 1",
-    "cartesian": f"WITH {_P} SELECT DISTINCT source_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM p",
+    "cartesian": f"WITH {_P} SELECT DISTINCT source_id, round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y, round(z, 4) + 0.0::DOUBLE AS z FROM p",
     "luminosity": f"WITH {_P} SELECT source_id, round(max(log10(luminosity)), 6) AS log_luminosity FROM m WHERE luminosity IS NOT NULL GROUP BY 1",
     "morton_cells": f"WITH {_P} SELECT DISTINCT source_id, leaf, ix, iy, iz FROM m WHERE inside",
     "octant_counts": f"WITH {_P} SELECT leaf >> 18 AS octant, count(*) AS n, round(sum(luminosity), 2) AS light FROM m WHERE inside AND luminosity IS NOT NULL GROUP BY 1",

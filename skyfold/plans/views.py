@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.common import Scratch, table
 from skyfold.functions.camera import Camera, default_exposure, galactic_view
+from skyfold.functions.motion import speeds
 from skyfold.operators import octree as T
 from skyfold.operators import raster as R
 from skyfold.plans import tree
 from skyfold.streaming.views import accepted_views, view_events
 
 INSIDE = Camera(eye=(0.0, 0.0, 0.0), direction=(-0.05, -0.87, -0.48), upward=(0.0, 0.0, 1.0), width=192, height=108, fov=60.0, far=5000.0)
+ASIDE = replace(INSIDE, eye=(3000.0, 0.0, 0.0))
 ABOVE = galactic_view(tree.HALF, 96, 96, half_width=4000.0)
 PIXELS = 16.0
 
@@ -42,6 +45,22 @@ def fetch_batches(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("priority", F.round("priority", 6))
 
 
+def cache_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """From the view inside to the same view from 3,000 pc aside: nodes to fetch, keep and evict, and their points."""
+    before, after = (viewed(spark, sf, c) for c in (INSIDE, ASIDE))
+    delta = T.cache_delta(T.wanted_nodes(after, tree.KEYS), T.wanted_nodes(before, tree.KEYS), tree.KEYS)
+    sized = delta.join(before.select("dataset", "depth", "prefix", "point_count"), ["dataset", "depth", "prefix"])
+    return sized.groupBy("dataset", "action").agg(F.count("*").alias("nodes"), F.sum("point_count").alias("points"))
+
+
+def camera_speeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Speed between the views of a session."""
+    e = table(spark, sf, "events")
+    moves = view_events(e).join(e.select(F.col("event_id").alias("seq"), "ts"), "seq")
+    found = speeds(moves, ["session"], "ts", "seq", "ex", "ey", "ez").where("speed is not null")
+    return found.select("seq", "session", F.round("speed", 6).alias("speed"))
+
+
 def _cut_points(spark: SparkSession, sf: str, camera: Camera) -> DataFrame:
     """The points of the cut: an equi-join of the point table with the cut's nodes."""
     cut = T.lod_cut(viewed(spark, sf, camera), tree.KEYS).select("dataset", "depth", "prefix")
@@ -103,7 +122,7 @@ def view_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (frustum_leaves, lod_cut, wanted_nodes, fetch_batches, cut_points, render_exact, render_inside, render_fast, tonemapped, image_compare, worst_tiles, image_difference, labels_fade, view_hysteresis)
+    f.__name__: f for f in (frustum_leaves, lod_cut, wanted_nodes, fetch_batches, cut_points, render_exact, render_inside, render_fast, tonemapped, image_compare, worst_tiles, image_difference, labels_fade, cache_delta, camera_speeds, view_hysteresis)
 }
 
 
@@ -132,6 +151,12 @@ cut AS (SELECT * FROM o WHERE terminal AND point_count > 0 AND seen)"""
 _WANTED = f"""{_viewed(INSIDE)}, w AS (SELECT * FROM o WHERE point_count > 0 AND (terminal OR EXISTS (SELECT 1 FROM o b WHERE b.terminal AND b.point_count > 0 AND b.dataset = o.dataset AND b.depth > o.depth AND b.prefix >> (3 * greatest(b.depth - o.depth, 0))::INT = o.prefix)))"""
 
 
+def _wanted_from(c: Camera) -> str:
+    """SQL: the wanted nodes of a camera as a subquery."""
+    return f"""(WITH {_viewed(c)} SELECT * FROM o WHERE point_count > 0 AND (terminal OR EXISTS (SELECT 1 FROM o b WHERE b.terminal AND b.point_count > 0 AND b.dataset = o.dataset
+  AND b.depth > o.depth AND b.prefix >> (3 * greatest(b.depth - o.depth, 0))::INT = o.prefix)))"""
+
+
 def _light(c: Camera, rows: str, exposure: float) -> str:
     """SQL: light per pixel of the stars in rows, as CTEs ending in h."""
     rel = {a: f"({a} - ({e!r}))" for a, e in zip("xyz", c.eye)}
@@ -188,6 +213,9 @@ SELECT *, fast_flux / greatest(exact_flux, 1) AS flux_ratio, fast_bright / great
   abs(fast_bright / greatest(exact_bright, 1) - 1) <= 0.05 AS bright_ok, passing >= 0.8 AS tiles_ok FROM f""",
     "worst_tiles": f"WITH {_BOTH} SELECT tx, ty, round(rmse, 9) AS rmse FROM tiles ORDER BY tiles.rmse DESC, tx, ty LIMIT 5",
     "image_difference": f"WITH {_BOTH} SELECT * FROM (SELECT x, y, " + ", ".join(f"least(255, 4 * abs(e{k} - a{k})) AS {k}" for k in "rgb") + " FROM both_) WHERE r + g + b > 0",
+    "cache_delta": f"""WITH a AS {_wanted_from(ASIDE)}, b AS {_wanted_from(INSIDE)}
+SELECT coalesce(a.dataset, b.dataset) AS dataset, CASE WHEN b.n IS NULL THEN 'fetch' WHEN a.n IS NULL THEN 'evict' ELSE 'keep' END AS action, count(*) AS nodes, sum(coalesce(a.point_count, b.point_count))::BIGINT AS points
+FROM a FULL JOIN b ON a.dataset = b.dataset AND a.depth = b.depth AND a.prefix = b.prefix GROUP BY ALL""",
     "render_exact": f"WITH {_S}, {_light(ABOVE, 's', default_exposure(ABOVE))} {_ROUND}",
     "render_inside": f"WITH {_S}, {_light(INSIDE, 's', 1e-3)} {_ROUND}",
     "tonemapped": f"WITH {_S}, {_light(ABOVE, 's', default_exposure(ABOVE))} {_BYTES}",

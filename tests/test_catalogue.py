@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from skyfold.common import Scratch
 from skyfold.functions import astro as A
 from skyfold.functions import morton as M
+from skyfold.functions import motion
 from skyfold.functions.camera import Camera, cross, dot, galactic_axes, galactic_view, unit
 from skyfold.functions.hashing import FIRST, SECOND, STEP, with_splitmix64
 from skyfold.operators import manifest as L
 from skyfold.operators import octree as T
 from skyfold.operators import raster as R
 from skyfold.plans import ingest, tree, views
-from skyfold.sources import binary, images, labels
+from skyfold.sources import binary, images, labels, listing
 from skyfold.sources.csv_files import read_catalogue
 from skyfold.streaming.views import VIEW, accepted_view_stream, accepted_views, view_events
 
@@ -321,3 +322,31 @@ def test_views_in_batch_and_stream_agree(spark, sf, tmp_path):
             q.stop()
             got = {(r.session, r.seq) for r in spark.sql("select * from views_out").collect()}
     assert got == batch
+
+
+def test_listings(spark, tmp_path):
+    for name in ("b-1", "a", "bad name", "empty"):
+        (tmp_path / name / "sub").mkdir(parents=True)
+        (tmp_path / name / "sub" / "tree.bin").write_bytes(b"x")
+        if name != "empty":
+            (tmp_path / name / "tree.bin").write_bytes(b"0123456789")
+    assert [r.name for r in listing.dataset_names(spark, str(tmp_path), "tree.bin").collect()] == ["a", "b-1"]
+    assert {(r.path, r.length) for r in listing.list_files(spark, str(tmp_path), "a/tree.bin").collect()} == {("a/tree.bin", 10)}
+    assert listing.read_range(spark, str(tmp_path / "a" / "tree.bin"), 2, 4) == b"234" and listing.read_range(spark, str(tmp_path / "a" / "tree.bin"), 8, 99) == b"89"
+    with pytest.raises(ValueError):
+        listing.read_range(spark, str(tmp_path / "a" / "tree.bin"), 4, 2)
+    page = '<L xmlns="urn:x"><Contents><Key>g/a.csv.gz</Key></Contents><Contents><Key>g/b.txt</Key></Contents></L>'
+    assert [r.key for r in listing.bucket_listing(spark.createDataFrame([(page,)], "value string")).collect()] == ["g/a.csv.gz"]
+    assert listing.run_name(0) == "cfcd208"
+    lines = spark.createDataFrame([(" a ",), ("",), ("k=v=w",)], "value string")
+    assert [r.name for r in listing.name_lines(lines).collect()] == ["a", "k=v=w"] and [tuple(r) for r in listing.settings(lines).collect()] == [("k", "v=w")]
+    r = one(spark, a=listing.object_prefix(F.lit("/mnt/gcs/x/y")), b=listing.object_prefix(F.lit("/tmp/x")))
+    assert (r.a, r.b) == ("x/y", None)
+
+
+def test_motion(spark):
+    df = spark.createDataFrame([("s", i, f"2026-01-01 00:00:0{t}", float(x)) for i, (t, x) in enumerate([(0, 0), (2, 6), (2, 9), (3, 9)])], "k string, n int, t string, x double")
+    df = df.withColumns({"t": F.to_timestamp("t"), "y": F.lit(0.0), "z": F.lit(0.0)})
+    assert [r.speed for r in motion.speeds(df, ["k"], "t", "n", "x", "y", "z").orderBy("n").collect()] == [None, 3.0, None, 0.0]
+    r = one(spark, m=motion.smoothed(F.array(F.lit(10.0), F.lit(20.0))), a=motion.speed_text(F.lit(motion.LIGHT * 2)), b=motion.speed_text(F.lit(motion.LIGHT * 5e6)), s=motion.slider(F.lit(0.5)))
+    assert r.m == pytest.approx(11.0) and (r.a, r.b) == ("2.00 c", "5.00 Mc") and r.s == pytest.approx(10**1.5)
