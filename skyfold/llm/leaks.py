@@ -8,7 +8,7 @@ least number of edits there. Words are compared by 64-bit hashes.
 Words are runs of letters and digits, after HTML tags became blanks, entities were decoded, format characters removed,
 compatibility forms unified and letters lower-cased.
 
-Defined cases: null texts and texts with fewer words than a window match nothing; rows with a null identifier don't
+Defined cases: several items may share a passage, and each comes out; null texts and texts with fewer words than a window match nothing; rows with a null identifier don't
 count; repeated rows give a pair once; several rows with one identifier count as one document; empty tables give an
 empty result; other columns are ignored.
 """
@@ -100,16 +100,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     def hashed(df: DataFrame, ident: str, name: str) -> DataFrame:
         kind = df.schema[ident].dataType.simpleString()
         rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))
-        return scratch.write(rows.mapInArrow(_hash_words, f"id {kind}, words array<bigint>"), name)
+        words_ = rows.mapInArrow(_hash_words, f"id {kind}, words array<bigint>")
+        # The number tells rows apart, so that rows of one identifier don't meet each other; it is written, hence stable.
+        return scratch.write(words_.withColumn("row", F.monotonically_increasing_id()), name)
 
-    corpus, tests = hashed(docs, doc, "corpus").withColumnRenamed("id", "doc"), hashed(items, item, "tests").withColumnRenamed("id", "item")
+    corpus, tests = hashed(docs, doc, "corpus").withColumnRenamed("id", "doc"), hashed(items, item, "tests").withColumnRenamed("id", "item").drop("row")
     starts = F.sequence(F.lit(1), F.size("words") - size + 1)
     runs = F.transform(starts, lambda k: F.xxhash64(F.slice("words", k, size)))
     long_enough = F.size("words") >= words
     pieces = tests.where(long_enough).select("item", F.size("words").alias("__len"), F.posexplode(runs).alias("__ipos", "__run"))
-    hits = corpus.where(F.size("words") >= size).select("doc", F.posexplode(runs).alias("__dpos", "__run")).join(maybe_broadcast(pieces), "__run").drop("__run")
+    hits = corpus.where(F.size("words") >= size).select("row", F.posexplode(runs).alias("__dpos", "__run")).join(maybe_broadcast(pieces), "__run").drop("__run")
     # Documents first, then the items, so that what is shuffled is four numbers a hit.
-    sides = hits.join(corpus, "doc").join(maybe_broadcast(tests.withColumnRenamed("words", "__iwords"), 20_000), "item")
+    sides = hits.join(corpus, "row").join(maybe_broadcast(tests.withColumnRenamed("words", "__iwords"), 20_000), "item")
     # The piece may be any of the window's budget + 1; its place gives the window and where the document would hold it.
     sides = sides.withColumn("__at", F.explode(F.array(*[F.lit(k * size) for k in range(budget + 1)])))
     window, start = F.col("__ipos") - F.col("__at"), F.col("__dpos") - F.col("__at") - budget

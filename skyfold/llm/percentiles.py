@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,6 @@ from skyfold.common import BROADCAST_ROWS, Scratch, join_nulls
 
 CUTOFF = 1024
 FLUSH_ROWS = 262_144
-_RANGE = "__t array<int>, __rank array<bigint>, __lo array<double>, __hi array<double>, __pivot array<double>"
 
 
 def _check_keys(keys: Sequence[str]) -> None:
@@ -160,25 +160,24 @@ def _trim(keys: Sequence[str]):
 
 
 def _read_off(keys: Sequence[str]):
-    """The wanted values from the few that are left of each group."""
+    """The wanted values from the few that are left of each group: rows (keys, field, p, value, rank, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c))
-            lists = {c: _lists(get(c)) for c in ("__vals", "__wts", "__t", "__rank", "__lo")}
-            at, ts, found = [], [], []
+            lists = {c: _lists(get(c)) for c in ("__vals", "__wts", "__rank", "__lo")}
+            found, sizes = [np.zeros(0)], []
             for i, v in enumerate(lists["__vals"]):
                 order = np.argsort(v, kind="stable")
                 v, w = v[order], lists["__wts"][i]
                 cum = np.arange(len(v) + 1) if len(w) != len(v) else np.concatenate([[0], np.cumsum(w[order])])
                 lo = lists["__lo"][i]
                 a = np.where(np.isnan(lo), 0, np.searchsorted(v, lo, "right"))
-                k = np.searchsorted(cum, cum[a] + lists["__rank"][i], "left") - 1
-                at += [i] * len(a)
-                ts += lists["__t"][i].tolist()
-                found += v[k].tolist()
-            cols = [get(c).take(pa.array(at, pa.int64())) for c in [*keys, "field"]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ts, pa.int32()), pa.array(found, pa.float64())], names=[*keys, "field", "__t", "__result"])
+                found.append(v[np.searchsorted(cum, cum[a] + lists["__rank"][i], "left") - 1])
+                sizes.append(len(a))
+            at = pa.array(np.repeat(np.arange(b.num_rows), np.array(sizes, np.int64)))
+            cols = [get(c).take(at) for c in [*keys, "field"]] + [get("p").flatten(), pa.array(np.concatenate(found)), get("rank").flatten(), get("n").flatten()]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "field", "p", "value", "rank", "n"])
 
     return run
 
@@ -195,20 +194,25 @@ def select_ranks(blocks: DataFrame, keys: Sequence[str], shares: Mapping[str, Se
     counted = f"{kddl}field string, __t int, __lt bigint, __eq bigint, __gt bigint, __mlt double, __wlt bigint, __mgt double, __wgt bigint"
     nan = F.lit(float("nan"))
 
+    def middle(value: str, weight: str) -> Column:
+        """The weighted median of the proposals; the largest where it lies between two infinities."""
+        m = F.percentile(value, F.lit(0.5), F.col(weight))
+        return F.coalesce(F.nanvl(m, F.lit(None).cast("double")), F.max(value)).alias(value)
+
     def vote(pairs: DataFrame) -> DataFrame:
         return (
             pairs.mapInArrow(_count_three_ways(keys, key_types), counted)
             .groupBy(*names, "__t")
             .agg(
                 *[F.sum(c).alias(c) for c in ("__lt", "__eq", "__gt")],
-                F.percentile("__mlt", F.lit(0.5), F.col("__wlt")).alias("__mlt"),
-                F.percentile("__mgt", F.lit(0.5), F.col("__wgt")).alias("__mgt"),
+                middle("__mlt", "__wlt"),
+                middle("__mgt", "__wgt"),
             )
         )
 
-    def meet(blocks: DataFrame, state: DataFrame) -> DataFrame:
-        ranges = state.where("__result is null").groupBy(*names).agg(F.collect_list(F.struct("__t", "__rank", "__lo", "__hi", "__pivot")).alias("__s"))
-        ranges = ranges.select(*names, *[F.col(f"__s.{c}").alias(c) for c in ("__t", "__rank", "__lo", "__hi", "__pivot")])
+    def meet(blocks: DataFrame, state: DataFrame, cols: Sequence[str] = ("__t", "__rank", "__lo", "__hi", "__pivot")) -> DataFrame:
+        ranges = state.where("__result is null").groupBy(*names).agg(F.collect_list(F.struct(*cols)).alias("__s"))
+        ranges = ranges.select(*names, *[F.col(f"__s.{c}").alias(c) for c in cols])
         return join_nulls(blocks, F.broadcast(ranges) if small else ranges, names)
 
     one = lambda c, kind: F.array(F.lit(c).cast(kind))
@@ -251,11 +255,8 @@ def select_ranks(blocks: DataFrame, keys: Sequence[str], shares: Mapping[str, Se
         scratch.drop(f"state-{k - 1}")
     left = meet(blocks, state).mapInArrow(_trim(keys), blocks.schema)
     left = left.groupBy(*names).agg(F.flatten(F.collect_list("__vals")).alias("__vals"), F.flatten(F.collect_list(F.coalesce("__wts", F.array().cast("array<bigint>")))).alias("__wts"))
-    read = meet(left, state).mapInArrow(_read_off(keys), f"{kddl}field string, __t int, __result double")
-    done = state.where("__result is not null")
-    out = ["p", F.col("__result").alias("value"), "rank", "n"]
-    late = join_nulls(state.drop("__result"), read, [*names, "__t"])
-    return done.select(*names, *out).unionByName(late.select(*names, *out))
+    read = meet(left, state, ("__rank", "__lo", "p", "rank", "n")).mapInArrow(_read_off(keys), f"{kddl}field string, p double, value double, rank bigint, n bigint")
+    return state.where("__result is not null").select(*names, "p", F.col("__result").alias("value"), "rank", "n").unionByName(read)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -278,8 +279,6 @@ def summarize(df: DataFrame, keys: Sequence[str], part: Sequence[str], fields: M
     all_keys = [*keys, *part]
     found = percentiles(df, all_keys, fields, {f: [(i + 1) / points for i in range(points)] for f in fields})
     # Of equal ranks (parts with fewer rows than points) one is kept; a value stands for the ranks since the one before.
-    from pyspark.sql import Window as W
-
     once = found.groupBy(*all_keys, "field", "rank").agg(F.first("value").alias("value"))
     w = W.partitionBy(*all_keys, "field").orderBy("rank")
     return once.select(*all_keys, "field", "value", (F.col("rank") - F.coalesce(F.lag("rank").over(w), F.lit(0))).alias("weight"))
@@ -287,6 +286,5 @@ def summarize(df: DataFrame, keys: Sequence[str], part: Sequence[str], fields: M
 
 def combine(summaries: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Percentiles of the whole from united summaries of its parts, by the same selection over weighted values."""
-    one = summaries.withColumnRenamed("field", "__field").withColumnsRenamed({k: k for k in keys})
-    blocks = sorted_blocks(one.withColumnRenamed("__field", "of"), [*keys, "of"], {"value": F.col("value")}, F.col("weight"))
+    blocks = sorted_blocks(summaries.withColumnRenamed("field", "of"), [*keys, "of"], {"value": F.col("value")}, F.col("weight"))
     return select_ranks(blocks, [*keys, "of"], {"value": shares}).drop("field").withColumnRenamed("of", "field")

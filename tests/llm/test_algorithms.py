@@ -29,6 +29,7 @@ def test_percentiles_by_many_rounds(spark, monkeypatch):
     rng = random.Random(5)
     rows = [("big", rng.gauss(0, 1)) for _ in range(3000)] + [("ties", float(i % 3)) for i in range(500)] + [(None, float(i)) for i in range(40)]
     rows += [("one", 1.0), ("inf", float("inf")), ("inf", float("-inf")), ("inf", 0.0), ("none", None), ("none", float("nan"))]
+    rows += [("both", s * float("inf")) for s in (1, -1) for _ in range(40)] + [("huge", v) for v in (-1.7e308, 1.7e308) for _ in range(30)]
     df = spark.createDataFrame(rows, "g string, v double").withColumn("value", F.lit("clash")).repartition(5)
     ps = [0.0, 0.1, 0.5, 0.9, 1.0]
     got = {(r.g, r.p): r.value for r in P.percentiles(df, ["g"], {"v": F.col("v")}, {"v": ps}).collect()}
