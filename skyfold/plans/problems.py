@@ -29,12 +29,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """The stars within a diamond of a degree around the first star of each file."""
+    """The stars within a diamond of a tenth of a degree around the first star of each file."""
     stars = table(spark, sf, "canonical_rows").select("input_name", "source_id", "ra", "dec")
     first = stars.groupBy("input_name").agg(F.min(F.struct("source_id", F.pmod(F.col("ra").cast("double"), F.lit(360.0)).alias("ra"), F.col("dec").cast("double").alias("dec"))).alias("s"))
-    corners = F.array(*[F.struct(F.lit(i).alias("seq"), (F.col("s.ra") + dx).alias("vx"), (F.col("s.dec") + dy).alias("vy")) for i, (dx, dy) in enumerate([(1, 0), (0, 1), (-1, 0), (0, -1)])])
+    corners = F.array(*[F.struct(F.lit(i).alias("seq"), (F.col("s.ra") + dx).alias("vx"), (F.col("s.dec") + dy).alias("vy")) for i, (dx, dy) in enumerate([(0.1, 0.0), (0.0, 0.1), (-0.1, 0.0), (0.0, -0.1)])])
     diamonds = first.select("input_name", F.inline(corners))
-    return points_in_regions(stars.select("source_id", "ra", "dec"), diamonds, "source_id", "ra", "dec", "input_name", "seq", "vx", "vy", 0.5, 1.0, 360.0)
+    return points_in_regions(stars.select("source_id", "ra", "dec"), diamonds, "source_id", "ra", "dec", "input_name", "seq", "vx", "vy", 0.05, 0.1, 360.0)
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,8 +87,8 @@ UNION ALL SELECT DISTINCT 'sky', a.source_id, b.source_id FROM (SELECT * FROM g,
   WHERE a.source_id < b.source_id AND {_CHORD}""",
     "p3_regions": """WITH s AS (SELECT DISTINCT source_id, input_name, ra::DOUBLE - 360 * floor(ra::DOUBLE / 360) AS ra, "dec"::DOUBLE AS d FROM canonical_rows),
 f AS (SELECT input_name, min_by(ra, source_id) AS cra, min_by(d, source_id) AS cd FROM s GROUP BY 1)
-SELECT DISTINCT s.source_id, f.input_name FROM s JOIN f ON s.d BETWEEN f.cd - 1 AND f.cd + 1
-WHERE least(abs(s.ra - f.cra), 360 - abs(s.ra - f.cra)) + abs(s.d - f.cd) <= 1""",
+SELECT DISTINCT s.source_id, f.input_name FROM s JOIN f ON s.d BETWEEN f.cd - 0.1 AND f.cd + 0.1
+WHERE least(abs(s.ra - f.cra), 360 - abs(s.ra - f.cra)) + abs(s.d - f.cd) <= 0.1""",
     "p6_found": f"{_COUNTS}\nSELECT morton FROM c WHERE stars <> point_count",
     "p6_cells": f"{_COUNTS}\nSELECT morton, stars, point_count FROM c",
 }
