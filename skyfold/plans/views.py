@@ -213,6 +213,9 @@ SELECT *, fast_flux / greatest(exact_flux, 1) AS flux_ratio, fast_bright / great
   abs(fast_bright / greatest(exact_bright, 1) - 1) <= 0.05 AS bright_ok, passing >= 0.8 AS tiles_ok FROM f""",
     "worst_tiles": f"WITH {_BOTH} SELECT tx, ty, round(rmse, 9) AS rmse FROM tiles ORDER BY tiles.rmse DESC, tx, ty LIMIT 5",
     "image_difference": f"WITH {_BOTH} SELECT * FROM (SELECT x, y, " + ", ".join(f"least(255, 4 * abs(e{k} - a{k})) AS {k}" for k in "rgb") + " FROM both_) WHERE r + g + b > 0",
+    "camera_speeds": """WITH v AS (SELECT user_id AS session, event_id AS seq, ts, coalesce(value, 0) * 20 AS ex, coalesce(value, 0) * (coalesce(length(event_type), 0) % 7 - 3) AS ey FROM events),
+m AS (SELECT *, sqrt(power(ex - lag(ex) OVER w, 2) + power(ey - lag(ey) OVER w, 2)) AS step, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS us FROM v WINDOW w AS (PARTITION BY session ORDER BY ts, seq))
+SELECT seq, session, round(step / us * 1e6, 6) AS speed FROM m WHERE us <> 0""",
     "cache_delta": f"""WITH a AS {_wanted_from(ASIDE)}, b AS {_wanted_from(INSIDE)}
 SELECT coalesce(a.dataset, b.dataset) AS dataset, CASE WHEN b.n IS NULL THEN 'fetch' WHEN a.n IS NULL THEN 'evict' ELSE 'keep' END AS action, count(*) AS nodes, sum(coalesce(a.point_count, b.point_count))::BIGINT AS points
 FROM a FULL JOIN b ON a.dataset = b.dataset AND a.depth = b.depth AND a.prefix = b.prefix GROUP BY ALL""",

@@ -19,7 +19,7 @@ STATE = "ex double, ey double, ez double, zoom double, pixels double"
 
 def view_events(events: DataFrame) -> DataFrame:
     """Views (VIEW) from user events: where each event's value and kind put the camera."""
-    k = F.abs(F.xxhash64("event_type") % 7)
+    k = F.coalesce(F.length("event_type"), F.lit(0)) % 7
     value = F.coalesce("value", F.lit(0.0))
     return events.select(
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (value * 20).alias("ex"), (value * (k - 3)).alias("ey"), F.lit(0.0).alias("ez"),
