@@ -35,10 +35,10 @@ class NumberStore:
         self.spark, self.path, self.keys, self.ident = spark, path.rstrip("/"), list(keys), ident
         self.loads = 0
         jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/numbers")
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(folder):
-            self.loads = 1 + max([int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if "=" in s.getPath().getName()], default=-1)
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # A load counts once it is complete; the next insert overwrites one that broke off.
+        while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/numbers/load={self.loads}/_SUCCESS")):
+            self.loads += 1
 
     def numbers(self, schema: str | None = None) -> DataFrame | None:
         """keys, ident, first_piece, u; None before the first insert."""
