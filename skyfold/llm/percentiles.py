@@ -14,6 +14,7 @@ keys and fields are ignored. Key names that begin with two underscores, and keys
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.common import BROADCAST_ROWS, Scratch, join_nulls
+from skyfold.common import BROADCAST_ROWS, Scratch, is_small, join_nulls
 
 CUTOFF = 1024
 FLUSH_ROWS = 262_144
@@ -210,37 +211,64 @@ def select_ranks(blocks: DataFrame, keys: Sequence[str], shares: Mapping[str, Se
             )
         )
 
-    def meet(blocks: DataFrame, state: DataFrame, cols: Sequence[str] = ("__t", "__rank", "__lo", "__hi", "__pivot")) -> DataFrame:
+    def meet(blocks: DataFrame, state: DataFrame, few: bool, cols: Sequence[str] = ("__t", "__rank", "__lo", "__hi", "__pivot")) -> DataFrame:
         ranges = state.where("__result is null").groupBy(*names).agg(F.collect_list(F.struct(*cols)).alias("__s"))
         ranges = ranges.select(*names, *[F.col(f"__s.{c}").alias(c) for c in cols])
-        return join_nulls(blocks, F.broadcast(ranges) if small else ranges, names)
+        return join_nulls(blocks, F.broadcast(ranges) if few else ranges, names)
 
+    def gather(blocks: DataFrame) -> DataFrame:
+        return blocks.groupBy(*names).agg(F.flatten(F.collect_list("__vals")).alias("__vals"), F.flatten(F.collect_list(F.coalesce("__wts", F.array().cast("array<bigint>")))).alias("__wts"))
+
+    def nearest(n: Column, p: Column) -> Column:
+        return F.greatest(F.lit(1), (n - F.floor(n - p * n)).cast("long"))
+
+    out = f"{kddl}field string, p double, value double, rank bigint, n bigint"
     one = lambda c, kind: F.array(F.lit(c).cast(kind))
     start = vote(blocks.select("*", one(0, "int").alias("__t"), *[F.array(nan).alias(c) for c in ("__lo", "__hi", "__pivot")]))
+    large = scratch.write(start.where(F.col("__gt") > CUTOFF), "large")
+    few_large = is_small(large)
+
+    # Groups that fit the cutoff as a whole have no rounds; their ranks follow from what is gathered.
+    whole = large.select(*names)
+    little = gather(join_nulls(blocks, F.broadcast(whole) if few_large else whole, names, "left_anti"))
+    n = F.when(F.size("__wts") == F.size("__vals"), F.aggregate("__wts", F.lit(0).cast("bigint"), lambda x, y: x + y)).otherwise(F.size("__vals").cast("bigint"))
+    wanted = F.coalesce(*[F.when(F.col("field") == f, F.array(*[F.lit(float(p)) for p in ps])) for f, ps in shares.items()])
+    little = little.withColumn("__n", n).withColumn("p", wanted).where("size(p) > 0")
+    little = little.withColumn("rank", F.transform("p", lambda p: nearest(F.col("__n"), p))).select(
+        *names, "__vals", "__wts", F.col("rank").alias("__rank"), F.array_repeat(nan, F.size("p")).alias("__lo"), "p", "rank", F.array_repeat("__n", F.size("p")).alias("n"),
+    )
+    little = little.mapInArrow(_read_off(keys), out)
+    if is_small(large, 0):
+        return little
+    little = scratch.write(little, "little")  # the first blocks go when they are trimmed
+
     table = spark.createDataFrame([(f, i, float(p)) for f, ps in shares.items() for i, p in enumerate(ps)], "field string, __t int, p double")
     n = F.col("__gt")
-    state = start.drop("__t").join(F.broadcast(table), "field").select(
-        *names, "__t", "p", n.alias("n"), F.greatest(F.lit(1), (n - F.floor(n - F.col("p") * n)).cast("long")).alias("__rank"),
+    state = large.drop("__t").join(F.broadcast(table), "field").select(
+        *names, "__t", "p", n.alias("n"), nearest(n, F.col("p")).alias("__rank"),
         nan.alias("__lo"), nan.alias("__hi"), F.col("__mgt").alias("__pivot"), n.alias("__left"), F.lit(None).cast("double").alias("__result"),
     )
-    state = state.withColumn("rank", F.col("__rank"))
-    state = scratch.write(state, "state-0")
+    state = scratch.write(state.withColumn("rank", F.col("__rank")), "state-0")
     rows, held = state.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS  # ranks are as many in every round
-    k = 0
+    few = rows <= BROADCAST_ROWS
+    is_open = f"__result is null and __left > {CUTOFF}"
+    rest = [c for c in state.columns if c not in names]
+    busy, ready, k = state, [], 0
     while True:
-        open_ = state.where(f"__result is null and __left > {CUTOFF}").agg(F.count("*"), F.sum("__left")).first()
+        # Ranks that are found, or nearly, leave the rounds.
+        ready.append(busy.where(f"not ({is_open})"))
+        busy = busy.where(is_open)
+        open_ = busy.agg(F.count("*"), F.sum("__left")).first()
         if not open_[0]:
             break
         k += 1
         if open_[1] * 4 < held:
-            blocks = scratch.write(meet(blocks, state).mapInArrow(_trim(keys), blocks.schema), f"blocks-{k}")
+            state = reduce(DataFrame.unionByName, ready, busy)
+            blocks = scratch.write(meet(blocks, state, few).mapInArrow(_trim(keys), blocks.schema), f"blocks-{k}")
             scratch.drop(stored)
             stored, held = f"blocks-{k}", open_[1]
-        busy = state.where(f"__result is null and __left > {CUTOFF}")
-        votes = vote(meet(blocks, busy)).withColumnRenamed("__t", "__vt")
-        rest = [c for c in state.columns if c not in names]
-        s = join_nulls(state.withColumn("__t2", F.col("__t")), votes.withColumnRenamed("__vt", "__t"), [*names, "__t"], "left")
+        votes = vote(meet(blocks, busy, open_[0] <= BROADCAST_ROWS))
+        s = join_nulls(busy, votes, [*names, "__t"], "left")
         seen, at_lt = F.col("__lt").isNotNull(), F.col("__rank") <= F.col("__lt")
         at_eq = ~at_lt & (F.col("__rank") <= F.col("__lt") + F.col("__eq"))
         new = {
@@ -251,12 +279,12 @@ def select_ranks(blocks: DataFrame, keys: Sequence[str], shares: Mapping[str, Se
             "__rank": F.when(seen & ~at_lt & ~at_eq, F.col("__rank") - F.col("__lt") - F.col("__eq")).otherwise(F.col("__rank")),
             "__pivot": F.when(seen & at_lt, F.col("__mlt")).when(seen & ~at_eq, F.col("__mgt")).otherwise(F.col("__pivot")),
         }
-        state = scratch.write(s.select(*names, *[new.get(c, F.col(c)).alias(c) for c in rest]), f"state-{k}")
-        scratch.drop(f"state-{k - 1}")
-    left = meet(blocks, state).mapInArrow(_trim(keys), blocks.schema)
-    left = left.groupBy(*names).agg(F.flatten(F.collect_list("__vals")).alias("__vals"), F.flatten(F.collect_list(F.coalesce("__wts", F.array().cast("array<bigint>")))).alias("__wts"))
-    read = meet(left, state, ("__rank", "__lo", "p", "rank", "n")).mapInArrow(_read_off(keys), f"{kddl}field string, p double, value double, rank bigint, n bigint")
-    return state.where("__result is not null").select(*names, "p", F.col("__result").alias("value"), "rank", "n").unionByName(read)
+        busy = scratch.write(s.select(*names, *[new.get(c, F.col(c)).alias(c) for c in rest]), f"state-{k}")
+    state = reduce(DataFrame.unionByName, ready)
+    left = gather(meet(blocks, state, few).mapInArrow(_trim(keys), blocks.schema))
+    read = meet(left, state, few, ("__rank", "__lo", "p", "rank", "n")).mapInArrow(_read_off(keys), out)
+    found = state.where("__result is not null").select(*names, "p", F.col("__result").alias("value"), "rank", "n")
+    return found.unionByName(read).unionByName(little)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -279,7 +307,7 @@ def summarize(df: DataFrame, keys: Sequence[str], part: Sequence[str], fields: M
     all_keys = [*keys, *part]
     found = percentiles(df, all_keys, fields, {f: [(i + 1) / points for i in range(points)] for f in fields})
     # Of equal ranks (parts with fewer rows than points) one is kept; a value stands for the ranks since the one before.
-    once = found.groupBy(*all_keys, "field", "rank").agg(F.first("value").alias("value"))
+    once = found.repartition(*all_keys, "field").groupBy(*all_keys, "field", "rank").agg(F.first("value").alias("value"))
     w = W.partitionBy(*all_keys, "field").orderBy("rank")
     return once.select(*all_keys, "field", "value", (F.col("rank") - F.coalesce(F.lag("rank").over(w), F.lit(0))).alias("weight"))
 
