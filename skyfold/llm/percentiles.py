@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.common import BROADCAST_ROWS, Scratch, is_small, join_nulls
+from skyfold.common import BROADCAST_ROWS, Scratch, join_nulls
 
 CUTOFF = 1024
 FLUSH_ROWS = 262_144
@@ -225,22 +225,25 @@ def select_ranks(blocks: DataFrame, keys: Sequence[str], shares: Mapping[str, Se
     out = f"{kddl}field string, p double, value double, rank bigint, n bigint"
     one = lambda c, kind: F.array(F.lit(c).cast(kind))
     start = vote(blocks.select("*", one(0, "int").alias("__t"), *[F.array(nan).alias(c) for c in ("__lo", "__hi", "__pivot")]))
-    large = scratch.write(start.where(F.col("__gt") > CUTOFF), "large")
-    few_large = is_small(large)
+    groups = scratch.write(start, "groups")
+    n_groups, n_large = groups.agg(F.count("*"), F.count_if(F.col("__gt") > CUTOFF)).first()
+    large = groups.where(F.col("__gt") > CUTOFF)
 
     # Groups that fit the cutoff as a whole have no rounds; their ranks follow from what is gathered.
     whole = large.select(*names)
-    little = gather(join_nulls(blocks, F.broadcast(whole) if few_large else whole, names, "left_anti"))
+    little = gather(join_nulls(blocks, F.broadcast(whole) if n_large <= BROADCAST_ROWS else whole, names, "left_anti"))
     n = F.when(F.size("__wts") == F.size("__vals"), F.aggregate("__wts", F.lit(0).cast("bigint"), lambda x, y: x + y)).otherwise(F.size("__vals").cast("bigint"))
-    wanted = F.coalesce(*[F.when(F.col("field") == f, F.array(*[F.lit(float(p)) for p in ps])) for f, ps in shares.items()])
+    by_field = [F.when(F.col("field") == f, F.array(*[F.lit(float(p)) for p in ps]).cast("array<double>")) for f, ps in shares.items()]
+    wanted = F.coalesce(F.lit(None).cast("array<double>"), *by_field)
     little = little.withColumn("__n", n).withColumn("p", wanted).where("size(p) > 0")
     little = little.withColumn("rank", F.transform("p", lambda p: nearest(F.col("__n"), p))).select(
         *names, "__vals", "__wts", F.col("rank").alias("__rank"), F.array_repeat(nan, F.size("p")).alias("__lo"), "p", "rank", F.array_repeat("__n", F.size("p")).alias("n"),
     )
     little = little.mapInArrow(_read_off(keys), out)
-    if is_small(large, 0):
+    if not n_large:
         return little
-    little = scratch.write(little, "little")  # the first blocks go when they are trimmed
+    # Written, as the first blocks go when they are trimmed.
+    little = scratch.write(little, "little") if n_large < n_groups else spark.createDataFrame([], little.schema)
 
     table = spark.createDataFrame([(f, i, float(p)) for f, ps in shares.items() for i, p in enumerate(ps)], "field string, __t int, p double")
     n = F.col("__gt")

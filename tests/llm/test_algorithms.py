@@ -44,6 +44,23 @@ def test_percentiles_by_many_rounds(spark, monkeypatch):
         P.percentiles(df.withColumnRenamed("g", "p"), ["p"], {"v": F.col("v")}, {"v": ps})
 
 
+@pytest.mark.parametrize("cutoff", [0, 10, 10_000])
+def test_weighted_groups_of_either_size(spark, monkeypatch, cutoff):
+    """Every group goes through rounds, some do, none does."""
+    monkeypatch.setattr(P, "CUTOFF", cutoff)
+    rng = random.Random(8)
+    rows = [(g, float(rng.randrange(30)), rng.randrange(4)) for g in range(12) for _ in range(g * g)]
+    df = spark.createDataFrame(rows, "g int, v double, w int").repartition(3)
+    shares = {"v": [0.01, 0.5, 0.99], "unwanted": [], "absent": [0.5]}
+    blocks = P.sorted_blocks(df, ["g"], {"v": F.col("v"), "unwanted": F.col("v"), "unnamed": F.col("v")}, F.col("w"))
+    got = {(r.g, r.field, r.p): (r.value, r.n) for r in P.select_ranks(blocks, ["g"], shares).collect()}
+    by = defaultdict(list)
+    for g, v, w in rows:
+        by[g] += [v] * w
+    assert got == {(g, "v", p): (nearest_rank(v, p), len(v)) for g, v in by.items() if v for p in shares["v"]}
+    assert P.select_ranks(blocks, ["g"], {}).count() == 0
+
+
 def test_summaries_of_days_combine(spark, monkeypatch):
     monkeypatch.setattr(P, "CUTOFF", 16)
     rng = random.Random(6)
