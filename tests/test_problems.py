@@ -97,3 +97,10 @@ def test_lines_in_blocks_equal_lines_alone(spark):
         assert str([got[i][h] for h in header]) == str(values)
     assert got[4].reason == "missing_column" and got[5].reason == "no_header" and len(got) == 1490 + 2
     assert parse_lines(df.limit(0)).count() == 0
+
+
+def test_regions_reach_a_degree(spark, tmp_path):
+    rows = [("f", 1, 0.2, 10.0), ("f", 2, 0.7, 10.4), ("f", 3, 359.4, 9.9), ("f", 4, 0.8, 10.5), ("g", 5, 0.2, 10.95), ("g", 6, 1.25, 10.0)]
+    spark.createDataFrame(rows, "input_name string, source_id long, ra double, dec double").write.parquet(f"{tmp_path}/canonical_rows.parquet")
+    got = {(r.source_id, r.input_name) for r in catalogue.QUERIES["p3_regions"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "f"), (2, "f"), (3, "f"), (5, "f"), (1, "g"), (5, "g")}
