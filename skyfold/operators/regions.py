@@ -112,7 +112,9 @@ def near_pairs(points: DataFrame, keys: Sequence[str], ident: str, x: str, y: st
     pairs = here.join(around, reduce(lambda a, b: a & b, on)).drop(around["__cell"])
     pairs = pairs.withColumn("__d", F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]))
     edges = _octagon(F.col("__qx").cast("double"), F.col("__qz").cast("double"), radius)
-    inside = crossing_parity(pairs, F.col("__px").cast("double"), F.col("__pz").cast("double"), edges, ["__cell", *names, "__p", "__q"], [F.min("__d").alias("__d")])
+    # The positions tell the pairs too: an identifier stored at several places is as many points.
+    by = ["__cell", *names, "__p", "__q", *[f"__{s}{c}" for s in "pq" for c in "xyz"]]
+    inside = crossing_parity(pairs, F.col("__px").cast("double"), F.col("__pz").cast("double"), edges, by, [F.min("__d").alias("__d")])
     near = inside.where(F.col("__d") <= radius).groupBy(*names, "__p", "__q").agg(F.min("__d").alias("distance"))
     return near.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("__p").alias(f"{ident}_a"), F.col("__q").alias(f"{ident}_b"), "distance")
 

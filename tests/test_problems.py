@@ -28,6 +28,15 @@ def test_near_pairs_match_brute_force(spark):
     assert got == want and ("e", 1, 2) in want
 
 
+def test_near_pairs_of_a_point_stored_at_two_places(spark):
+    # One place is in the octagon around the other star, one in a corner of its box.
+    near, corner = (0.55, 0.5, 0.5), (0.62, 0.5, 0.62)
+    rows = [("a", 1, 0.5, 0.5, 0.5), ("a", 2, *near), ("a", 2, *corner), ("b", 2, 0.5, 0.5, 0.5), ("b", 1, *near), ("b", 1, *corner)]
+    df = spark.createDataFrame(rows, "k string, id long, x double, y double, z double")
+    got = [(r.k, r.id_a, r.id_b, round(r.distance, 9)) for r in near_pairs(df, ["k"], "id", "x", "y", "z", 0.125).collect()]
+    assert sorted(got) == [("a", 1, 2, 0.05), ("b", 1, 2, 0.05)]
+
+
 def test_near_on_sky_at_pole_and_seam(spark):
     rows = [("d", 1, 0.0001, 10.0), ("d", 2, 359.9999, 10.0), ("d", 3, 10.0, 89.9999), ("d", 4, 190.0, 89.9999), ("d", 5, 370.0, 89.9999), ("x", 6, 10.0, 89.9999)]
     df = spark.createDataFrame(rows, "k string, id long, ra double, dec double")
