@@ -5,7 +5,7 @@ by a second column; all other keys go through one ordinary shuffle by key; the t
 dropped: a heavy key that the sample misses is treated as an ordinary one, a light key that it names as a heavy one.
 
 Defined cases: rows with a null key or a null identifier don't count; a key that only one side has comes out, with 0 for
-the other; repeated identifiers count once per key; null measures count as 0; empty tables give an empty result.
+the other, and so does a key without any identifier, heavy or not; repeated identifiers count once per key; null measures count as 0; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ def heavy_keys(df: DataFrame, key: str, share: float = SHARE, sample: float = SA
 def count_beside(facts: DataFrame, dims: DataFrame, key: str, ident: str, measure: str, heavy: DataFrame | None = None, n: str = "n") -> DataFrame:
     """Rows (key, n, measure) for every key of either side: the number of different ident in facts and dims' sum of measure."""
     heavy = heavy_keys(facts, key) if heavy is None else heavy
-    rows = facts.select(key, ident).where(F.col(key).isNotNull() & F.col(ident).isNotNull())
+    # Null identifiers stay, as a key that has no others comes out too; count(ident) passes over them.
+    rows = facts.select(key, ident).where(F.col(key).isNotNull())
     sums = dims.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(F.coalesce(F.col(measure), F.lit(0))).alias(measure))
     few = F.broadcast(heavy)
-    # Heavy: the sums of at most 1 / share keys are broadcast, and the identifiers spread the rows.
-    hot_sums = F.broadcast(heavy.join(sums.join(few, key, "left_semi"), key, "left"))
-    hot = rows.join(hot_sums, key).groupBy(key, ident).agg(F.first(measure).alias(measure)).groupBy(key).agg(F.count("*").alias(n), F.first(measure).alias(measure))
+    # Heavy: the few keys are broadcast, and the identifiers spread the rows; at most 1 / share counts meet as many sums.
+    many = rows.join(few, key, "left_semi").groupBy(key, ident).agg(F.lit(1).alias("__one")).groupBy(key).agg(F.count(ident).alias(n))
+    hot = many.join(sums.join(few, key, "left_semi"), key, "full_outer")
     # The rest: one shuffle by key serves the removal of repeats, the count and the join.
-    rest = rows.join(few, key, "left_anti").repartition(key).groupBy(key, ident).agg(F.lit(1).alias("__one")).groupBy(key).agg(F.count("*").alias(n))
+    rest = rows.join(few, key, "left_anti").repartition(key).groupBy(key, ident).agg(F.lit(1).alias("__one")).groupBy(key).agg(F.count(ident).alias(n))
     cold = rest.join(sums.join(few, key, "left_anti"), key, "full_outer")
     out = hot.select(key, n, measure).unionByName(cold.select(key, n, measure))
     return out.select(key, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in (n, measure)])

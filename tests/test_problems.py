@@ -74,6 +74,18 @@ def test_counts_with_a_key_that_holds_most_rows(spark):
     assert count_beside(facts, dims.limit(0), "key", "id", "w").count() == 59
 
 
+def test_keys_without_identifiers_come_out(spark):
+    rows = [(1, None)] * 50 + [(2, None)] * 50 + [(3, 7), (4, None), (5, None), (5, 8)]
+    facts = spark.createDataFrame(rows, "key long, id long")
+    dims = spark.createDataFrame([(1, 10), (5, 2), (6, 3), (7, 4)], "key long, w long")
+    want = {1: (0, 10), 2: (0, 0), 3: (1, 0), 4: (0, 0), 5: (1, 2), 6: (0, 3), 7: (0, 4)}
+    # Only dims has 6 and neither side 8; what is called heavy doesn't change the result.
+    for heavy in ([1, 2, 6, 8], [5, 4], []):
+        named = spark.createDataFrame([(k,) for k in heavy], "key long")
+        got = [(r.key, r.n, r.w) for r in count_beside(facts, dims, "key", "id", "w", named).collect()]
+        assert sorted(got) == sorted((k, *v) for k, v in want.items())
+
+
 def test_strict_rules():
     assert split_fields('a,"b,""c""",') == ["a", 'b,"c"', ""]
     for bad in ('"a', 'a"b', '"a"b,c', 'x,"y" ,z', '"a""'):
