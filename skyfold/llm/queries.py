@@ -42,10 +42,10 @@ def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_combined(spark: SparkSession, sf: str) -> DataFrame:
-    """Medians of the whole from summaries made per day; off by two percent of rank at most."""
+    """Percentiles of the whole from summaries made per day; off by two percent of rank at most."""
     rows = table(spark, sf, "canonical_rows").select("input_name", F.to_date("ingested_at").alias("day"), "phot_g_mean_mag", "parallax_error")
     days = summarize(rows, ["input_name"], ["day"], _measures(), 50)
-    return combine(days, ["input_name"], [0.5]).select("input_name", "field", "p", "value", "n")
+    return combine(days, ["input_name"], SHARES).select("input_name", "field", "p", "value", "n")
 
 
 def _leaf_stars(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import math
 import os
 import random
@@ -76,6 +77,17 @@ def test_summaries_of_days_combine(spark, monkeypatch):
         assert r.n == len(rows) and abs(rank - r.p * len(rows)) <= len(rows) / points + 1
 
 
+def test_combined_percentiles_of_files(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [("f", datetime.datetime(2024, 1, 1 + d), 10 + rng.random() * d, rng.expovariate(1) + 0.01) for d in range(5) for _ in range(rng.randrange(30, 400))]
+    spark.createDataFrame(rows, "input_name string, ingested_at timestamp, phot_g_mean_mag double, parallax_error double").write.parquet(f"{tmp_path}/canonical_rows.parquet")
+    got = {(r.field, r.p): r for r in Q.QUERIES["p1_combined"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(f, p) for f in ("phot_g_mean_mag", "parallax_error") for p in Q.SHARES}
+    for (f, p), r in got.items():
+        rank = sum(x[2 if f == "phot_g_mean_mag" else 3] <= r.value for x in rows)
+        assert r.n == len(rows) and abs(rank - p * len(rows)) <= 0.02 * len(rows) + 5
+
+
 def test_top_items_edge_cases(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(rng.choice(["a", "b", None]), float(rng.randrange(6)), rng.randrange(200)) for _ in range(3000)]
