@@ -93,9 +93,10 @@ def _octagon(cx: Column, cy: Column, r: float) -> Column:
 def near_pairs(points: DataFrame, keys: Sequence[str], ident: str, x: str, y: str, z: str, radius: float, cells: float = 10) -> DataFrame:
     """Rows (keys, <ident>_a, <ident>_b, distance): pairs of different points of a group at most radius apart, a < b.
 
-    Every point is the region around itself: an octagon in the plane of (x, z), binned into strips along z and cut into
-    cells of `cells` radii in all three directions. Candidates of the cell that crossing parity finds inside it are then
-    held to the exact distance, in double precision.
+    A grid join: positions are binned into cells of `cells` radii in all three directions, a point is repeated in the cells
+    that its radius reaches, and pairs of a cell meet if no coordinate differs by more than the radius. Crossing parity is
+    tested on these pairs with the octagon around a point in the plane of (x, z), which contains the circle, so the exact
+    distance that follows, in double precision, decides alone.
     """
     width = radius * cells
     one = points.where(_finite(x, y, z) & F.col(ident).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(ident).alias("__id"), *[F.col(c).alias(n) for c, n in zip((x, y, z), "xyz")])
