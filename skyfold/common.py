@@ -9,11 +9,14 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only when it has been counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when its rows and their bytes were counted and are within both bounds.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+
+_scratches: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,31 +33,72 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one job. Cuts lineage and survives lost executors, as the files are shared."""
+    """Written tables of one job. Cuts lineage and survives lost executors, as the files are shared.
+
+    Results read them lazily, so they stay until clear_scratch(), which a caller runs once its results are stored.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/skyfold-{uuid.uuid4().hex}"
+        _scratches.append(self)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **observed: Column) -> DataFrame:
+        """df as a written table; aggregates named in observed are taken in the same job and kept in self.seen."""
         path = f"{self.root}/{name}"
+        schema = df.schema
+        if observed:
+            watch = Observation()
+            df = df.observe(watch, *[c.alias(n) for n, c in observed.items()])
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if observed:
+            self.seen = watch.get
+        return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read again."""
+    def drop(self, name: str | None = None) -> None:
+        """Delete a table that nothing will read again, or all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(self.root if name is None else f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of all jobs so far; results that still read them must have been stored before."""
+    mine = [s for s in _scratches if s.spark is spark]
+    for s in mine:
+        s.drop()
+        _scratches.remove(s)
+
+
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            each = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType).cast("long"))
+            return F.lit(16) + F.coalesce(each, F.lit(0))
+        return F.lit(16) + F.greatest(F.size(c), F.lit(0)) * 8
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(c), T.ArrayType(kind.keyType)) + _width(F.map_values(c), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_width(c[f.name], f.dataType) for f in kind], F.lit(8))
+    return F.lit(8)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory."""
+    return reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(16)).cast("long")
+
 
+def maybe_broadcast(df: DataFrame, scratch: Scratch | None = None, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, written once, with a broadcast hint if its rows and bytes are within the bounds; else for a shuffle join that AQE may split.
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within max_rows; else unchanged, for a shuffle join that AQE may split."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    Rows and bytes are counted by the job that writes it, so nothing is computed twice.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    stored = scratch.write(df, f"side-{uuid.uuid4().hex[:8]}", rows=F.count(F.lit(1)), bytes=F.coalesce(F.sum(row_bytes(df)), F.lit(0)))
+    return F.broadcast(stored) if scratch.seen["rows"] <= max_rows and scratch.seen["bytes"] <= max_bytes else stored
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

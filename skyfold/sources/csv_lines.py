@@ -1,8 +1,10 @@
 """Text lines of CSV files, read by header name, with the lines that fail set apart and the reason.
 
-Blocks of lines with as many columns are parsed at once by Arrow's column reader and checked column by column; a block
-that fails in any way is cut in two until the bad lines are alone, and those few are diagnosed one by one by the strict
-rules. The strict rules decide: a line that they accept comes out as a row, however it came to be alone.
+Blocks of lines with as many columns are parsed at once by Arrow's column reader and converted column by column. Where a
+tenth of the blocks' lines may be bad, every block would fail; so tests over the whole block (quotes, number of columns,
+look of a number) first mark suspects, which leave it. A block that still fails, as on a whole number that is too large,
+is cut in two until the bad lines are alone. Suspects and lines that came to be alone are diagnosed one by one by the
+strict rules. The strict rules decide: a line that they accept comes out as a row.
 
 Reasons, the first that applies: `quoting` (a field begins with a quote and isn't closed on the line or is followed by
 something other than a comma, or contains a quote without beginning with one), `column_count` (differs from the
@@ -33,7 +35,8 @@ _FIELD = r'(?:"(?:[^"\r\n]|"")*"|[^",\r\n]*)'
 WELL_QUOTED = rf"^{_FIELD}(?:,{_FIELD})*$"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[nN][aA][nN]$"
 DIGITS = r"^[0-9]+$"
-BLOCK, ALONE, GATHER = 256, 8, 200_000
+#: Lines that a block holds at most.
+BLOCK = 65_536
 
 #: Columns of a catalogue file: whole (id), number (must be there) or maybe (may be empty or null).
 STAR_COLUMNS = {"source_id": "whole", "ra": "number", "dec": "number", "parallax": "maybe", "parallax_error": "number", "phot_g_mean_mag": "maybe", "bp_rp": "maybe"}
@@ -93,10 +96,23 @@ def diagnose(line: str, header: list[str], columns: Mapping[str, str]) -> tuple[
     return None, values
 
 
-def _read_fields(lines: pa.Array, width: int) -> pa.Array | None:
-    """All fields of a block of lines with `width` columns, column after column, or None if a line might not fit."""
-    if not pc.all(pc.match_substring_regex(lines, WELL_QUOTED)).as_py():
-        return None
+def _mask(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False)
+
+
+def _well_formed(lines: pa.Array, width: int) -> np.ndarray:
+    """Lines whose quoting and number of columns are right."""
+    ok = _mask(pc.and_(pc.equal(pc.count_substring(lines, ","), width - 1), pc.invert(pc.match_substring_regex(lines, "[\r\n]"))))
+    quoted = np.flatnonzero(_mask(pc.match_substring(lines, '"')))
+    if len(quoted):  # commas inside quotes don't separate
+        some = lines.take(pa.array(quoted))
+        bare = pc.replace_substring_regex(some, '"(?:[^"]|"")*"', "")
+        ok[quoted] = _mask(pc.and_(pc.match_substring_regex(some, WELL_QUOTED), pc.equal(pc.count_substring(bare, ","), width - 1)))
+    return ok
+
+
+def _read_fields(lines: pa.Array, width: int) -> list[pa.Array] | None:
+    """The columns of a block of lines, or None if Arrow's reader fails."""
     text = "\n".join(lines.to_pylist()).encode()
     names = [str(i) for i in range(width)]
     try:
@@ -108,36 +124,72 @@ def _read_fields(lines: pa.Array, width: int) -> pa.Array | None:
         )
     except pa.ArrowInvalid:
         return None
-    return pa.concat_arrays([c for n in names for c in t[n].chunks]) if t.num_rows == len(lines) else None
+    return [pa.concat_arrays(c.chunks) for c in t.columns] if t.num_rows == len(lines) else None
+
+
+def _wanted(fields: list[pa.Array], place: np.ndarray, kinds: list[str]) -> tuple[list[pa.Array], np.ndarray]:
+    """The texts of the wanted columns, by each line's own order of columns, and the lines where all look as they should."""
+    n = len(place)
+    out, ok, rows = [], np.ones(n, bool), np.arange(n)
+    whole = None
+    for k, kind in enumerate(kinds):
+        at = np.unique(place[:, k])
+        if len(at) == 1:
+            v = fields[at[0]]
+        else:
+            whole = pa.concat_arrays(fields) if whole is None else whole
+            v = whole.take(pa.array(place[:, k] * n + rows))
+        v = pc.utf8_trim_whitespace(v)
+        if kind == "maybe":
+            v = pc.if_else(pc.is_in(v, pa.array(["", "null"])), None, v)
+        ok &= _mask(pc.fill_null(pc.match_substring_regex(v, DIGITS if kind == "whole" else NUMBER), True))
+        out.append(v)
+    return out, ok
 
 
-def _bulk(lines: pa.Array, width: int, place: np.ndarray, kinds: list[str]) -> list[pa.Array] | None:
-    """The wanted values of a block, or None if any line might fail. place: each line's field numbers of the wanted columns."""
-    fields = _read_fields(lines, width)
-    if fields is None:
-        return None
-    rows = np.arange(len(lines))
-    pick = lambda ks: pc.utf8_trim_whitespace(fields.take(pa.array(np.concatenate([place[:, k] * len(lines) + rows for k in ks]))))
-    out: list = [None] * len(kinds)
+def _convert(texts: list[pa.Array], kinds: list[str]) -> list[pa.Array] | None:
     try:
-        for whole in (True, False):
-            # Columns of a kind are checked and converted at once; those that may be missing come first.
-            ks = sorted((k for k, kind in enumerate(kinds) if (kind == "whole") == whole), key=lambda k: kinds[k] != "maybe")
-            if not ks:
-                continue
-            v = pick(ks)
-            maybe = sum(kinds[k] == "maybe" for k in ks) * len(lines)
-            if maybe:
-                head = v.slice(0, maybe)
-                v = pa.concat_arrays([pc.if_else(pc.is_in(head, pa.array(["", "null"])), None, head), v.slice(maybe)])
-            if not pc.all(pc.match_substring_regex(v, DIGITS if whole else NUMBER)).as_py():
-                return None
-            v = v.cast(pa.int64()) if whole else pc.ascii_lower(pc.utf8_ltrim(v, "+")).cast(pa.float64())
-            for n, k in enumerate(ks):
-                out[k] = v.slice(n * len(lines), len(lines))
+        return [v.cast(pa.int64()) if kind == "whole" else pc.ascii_lower(pc.utf8_ltrim(v, "+")).cast(pa.float64()) for v, kind in zip(texts, kinds)]
     except pa.ArrowInvalid:
         return None
-    return out
+
+
+def _bisect(size: int, parse, alone: list[int]) -> Iterator[tuple[int, int, object]]:
+    """(from, to, result) of the largest parts of a block that parse; places of lines that don't, alone, go to `alone`."""
+    todo = [(0, size)] if size else []
+    while todo:
+        a, z = todo.pop()
+        found = parse(a, z)
+        if found is not None:
+            yield a, z, found
+        elif z - a == 1:
+            alone.append(a)
+        else:
+            todo += [(a, (a + z) // 2), ((a + z) // 2, z)]
+
+
+def _parse_block(lines: pa.Array, width: int, place: np.ndarray, kinds: list[str]) -> tuple[list[tuple[np.ndarray, list[pa.Array]]], np.ndarray]:
+    """Parts (line numbers, values) of a block of lines with `width` columns, and the lines that the fast path can't take.
+
+    place: each line's field numbers of the wanted columns.
+    """
+    formed = _well_formed(lines, width)
+    rows = np.flatnonzero(formed)
+    lines, place = lines.take(pa.array(rows)), place[rows]
+    done, odd = [], [np.flatnonzero(~formed)]
+    unread: list[int] = []
+    for a, z, fields in _bisect(len(rows), lambda a, z: _read_fields(lines.slice(a, z - a), width), unread):
+        texts, ok = _wanted(fields, place[a:z], kinds)
+        odd.append(rows[a:z][~ok])
+        good = np.flatnonzero(ok)
+        if len(good) < len(ok):
+            texts = [v.take(pa.array(good)) for v in texts]
+        failed: list[int] = []
+        for b, y, values in _bisect(len(good), lambda b, y: _convert([v.slice(b, y - b) for v in texts], kinds), failed):
+            done.append((rows[a:z][good[b:y]], values))
+        odd.append(rows[a:z][good[failed]])
+    odd.append(rows[unread])
+    return done, np.concatenate(odd)
 
 
 def _parse(columns: Mapping[str, str]):
@@ -150,7 +202,7 @@ def _parse(columns: Mapping[str, str]):
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= GATHER:
+            if rows >= BLOCK:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, rows = [], 0
         if rows:
@@ -164,24 +216,18 @@ def _parse(columns: Mapping[str, str]):
             place = np.array([[p.index(c) if c in p else -1 for c in columns] for p in parts] or [[-1] * len(columns)], np.int64)
             widths = np.array([len(p) if (at >= 0).all() else 0 for p, at in zip(parts, place)] or [0])
             width = np.where(code < 0, 0, widths[code])
-            strict: list[int] = list(np.flatnonzero(width == 0))
-            for w in np.unique(width[width > 0]):  # lines of files with as many columns share blocks, whatever their order
+            strict = [np.flatnonzero(width == 0)]
+            for w in np.unique(width[width > 0]):  # lines of files with as many columns share a block, whatever their order
                 rows = np.flatnonzero(width == w)
-                lines = b.column(2).take(pa.array(rows))
-                todo = [(a, min(a + BLOCK, len(rows))) for a in range(0, len(rows), BLOCK)]
-                while todo:
-                    a, z = todo.pop()
-                    values = _bulk(lines.slice(a, z - a), int(w), place[code[rows[a:z]]], kinds) if z - a > ALONE else None
-                    if values is not None:
-                        at = pa.array(rows[a:z])
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *values, pa.nulls(z - a, pa.string())], names=names)
-                    elif z - a > ALONE:
-                        todo += [(a, (a + z) // 2), ((a + z) // 2, z)]
-                    else:
-                        strict += list(rows[a:z])
-            if strict:
-                at = pa.array(np.array(strict, np.int64))
-                found = [diagnose(t, parts[code[i]], columns) if code[i] >= 0 else ("no_header", [None] * len(columns)) for i, t in zip(strict, b.column(2).take(at).to_pylist())]
+                done, odd = _parse_block(b.column(2).take(pa.array(rows)), int(w), place[code[rows]], kinds)
+                strict.append(rows[odd])
+                for at, values in done:
+                    take = pa.array(rows[at])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *values, pa.nulls(len(at), pa.string())], names=names)
+            alone = np.concatenate(strict)
+            if len(alone):
+                at = pa.array(alone)
+                found = [diagnose(t, parts[code[i]], columns) if code[i] >= 0 else ("no_header", [None] * len(columns)) for i, t in zip(alone, b.column(2).take(at).to_pylist())]
                 values = [pa.array([f[1][k] for f in found], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *values, pa.array([f[0] for f in found], pa.string())], names=names)
 
