@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from skyfold.operators.regions import near_on_sky, near_pairs, points_in_regions
 from skyfold.operators.skew import count_beside, heavy_keys
 from skyfold.plans import catalogue
+from skyfold.operators import regions as regions_module
+from skyfold.operators.regions import in_octagons
+from skyfold.sources import csv_lines
 from skyfold.sources.csv_lines import diagnose, parse_lines, split_fields
 
 
@@ -125,3 +128,80 @@ def test_regions_reach_a_degree(spark, tmp_path):
     spark.createDataFrame(rows, "input_name string, source_id long, ra double, dec double").write.parquet(f"{tmp_path}/canonical_rows.parquet")
     got = {(r.source_id, r.input_name) for r in catalogue.QUERIES["p3_regions"](spark, str(tmp_path)).collect()}
     assert got == {(1, "f"), (2, "f"), (3, "f"), (5, "f"), (1, "g"), (5, "g")}
+
+
+def test_few_lines_are_diagnosed_alone(sf, duck, monkeypatch):
+    """The fast path takes all but the bad lines; a block that fails in spite of the tests is bisected to single lines."""
+    lines = duck.sql("""WITH w AS (SELECT * FROM raw_lines WHERE NOT starts_with(line, '#') AND trim(line) <> ''),
+h AS (SELECT input_name, min(line_no) AS first, min_by(line, line_no) AS header FROM w GROUP BY 1)
+SELECT line_id, input_name, line, header FROM w JOIN h USING (input_name) WHERE line_no > first""").to_arrow_table()
+    calls = {"diagnose": 0, "_convert": 0}
+
+    def counted(name):
+        plain = getattr(csv_lines, name)
+
+        def call(*args):
+            calls[name] += 1
+            return plain(*args)
+
+        monkeypatch.setattr(csv_lines, name, call)
+
+    for name in calls:
+        counted(name)
+    out = [b.column("reason").to_pylist() for b in csv_lines._parse(csv_lines.STAR_COLUMNS)(iter(lines.combine_chunks().to_batches()))]
+    bad = sum(r is not None for rows in out for r in rows)
+    assert sum(map(len, out)) == lines.num_rows and 0 < bad <= calls["diagnose"] <= 2 * bad
+    assert calls["_convert"] > 2  # whole numbers that are too large pass the tests and fail the conversion
+
+
+def test_bisection_leaves_only_bad_lines_alone():
+    rng = random.Random(1)
+    for size in (0, 1, 2, 77, 1000):
+        bad, alone = {i for i in range(size) if rng.random() < 0.03}, []
+        parts = [(a, z) for a, z, _ in csv_lines._bisect(size, lambda a, z: None if bad & set(range(a, z)) else True, alone)]
+        assert set(alone) == bad and sorted([i for a, z in parts for i in range(a, z)] + alone) == list(range(size))
+
+
+def _stars_in_a_box(spark):
+    rng = random.Random(6)
+    rows = [("a", i, rng.random(), rng.random(), rng.random()) for i in range(400)]
+    return rows, spark.createDataFrame(rows, "k string, id long, x double, y double, z double")
+
+
+def test_parity_decides_which_points_are_in_octagons(spark, monkeypatch):
+    rows, df = _stars_in_a_box(spark)
+    place = lambda c: tuple(F.col(f"{c}{i}") for i in range(3))
+    found = lambda: {(r["__p"], r["__q"]) for r in in_octagons(df, ["k"], "id", ["x", "y", "z"], place, 0.125).collect()}
+
+    def inside(dx, dz, r=0.125 * (1 + 1e-9)):  # eight half planes
+        return all(dx * math.cos(k * math.pi / 4) + dz * math.sin(k * math.pi / 4) <= r for k in range(8))
+
+    box = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and abs(a[3] - b[3]) <= 0.125 and max(abs(a[2] - b[2]), abs(a[4] - b[4])) <= 0.125}
+    want = {(p, q) for p, q in box if inside(rows[p][2] - rows[q][2], rows[p][4] - rows[q][4])}
+    assert found() == want < box
+    # Without its western edges, an octagon would take in its western corners; without the eastern ones, no point is inside.
+    edges = regions_module._EDGES
+    monkeypatch.setattr(regions_module, "_EDGES", [e for e in edges if max(e[1][0], e[2][0]) > 0])
+    assert want < found() <= box
+    monkeypatch.setattr(regions_module, "_EDGES", [e for e in edges if min(e[1][0], e[2][0]) < 0])
+    assert not want & found()
+
+
+def test_edges_of_any_length_meet_their_points(spark):
+    """Edges and regions of very different sizes, against the crossing rule in a loop."""
+    rng = random.Random(3)
+    rings = {f"r{n}": [(c[0] + size * rng.uniform(0.2, 1) * math.cos(t), c[1] + size * rng.uniform(0.2, 1) * math.sin(t)) for t in sorted(rng.uniform(0, 6.28) for _ in range(3 + n % 6))] for n, size in enumerate([0.1, 1, 30, 300, 5, 2000]) for c in [(rng.uniform(-5, 5), rng.uniform(-5, 5))]}
+    regions = spark.createDataFrame([(r, i, x, y) for r, ring in rings.items() for i, (x, y) in enumerate(ring)], "r string, s int, vx double, vy double")
+    pts = [(i, rng.gauss(0, 10 ** rng.uniform(-1, 3)), rng.gauss(0, 10 ** rng.uniform(-1, 3))) for i in range(800)]
+
+    def inside(x, y, ring):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+        return odd
+
+    want = {(i, r) for i, x, y in pts for r, ring in rings.items() if inside(x, y, ring)}
+    df = spark.createDataFrame(pts + pts[:50], "id long, px double, py double")
+    got = {(x.id, x.r) for x in points_in_regions(df, regions, "id", "px", "py", "r", "s", "vx", "vy", 0.5, 1.0).collect()}
+    assert got == want and len(want) > 100
+    assert points_in_regions(df, regions.limit(0), "id", "px", "py", "r", "s", "vx", "vy", 0.5, 1.0).count() == 0
