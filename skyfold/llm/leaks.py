@@ -111,7 +111,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     pieces = tests.where(long_enough).select("item", F.size("words").alias("__len"), F.posexplode(runs).alias("__ipos", "__run"))
     hits = corpus.where(F.size("words") >= size).select("row", F.posexplode(runs).alias("__dpos", "__run")).join(maybe_broadcast(pieces), "__run").drop("__run")
     # Documents first, then the items, so that what is shuffled is four numbers a hit.
-    sides = hits.join(corpus, "row").join(maybe_broadcast(tests.withColumnRenamed("words", "__iwords"), 20_000), "item")
+    sides = hits.join(corpus, "row").join(maybe_broadcast(tests.withColumnRenamed("words", "__iwords")), "item")
     # The piece may be any of the window's budget + 1; its place gives the window and where the document would hold it.
     sides = sides.withColumn("__at", F.explode(F.array(*[F.lit(k * size) for k in range(budget + 1)])))
     window, start = F.col("__ipos") - F.col("__at"), F.col("__dpos") - F.col("__at") - budget

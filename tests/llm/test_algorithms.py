@@ -47,7 +47,7 @@ def test_percentiles_by_many_rounds(spark, monkeypatch):
 
 @pytest.mark.parametrize("cutoff", [0, 10, 10_000])
 def test_weighted_groups_of_either_size(spark, monkeypatch, cutoff):
-    """Every group goes through rounds, some do, none does."""
+    """Every rank is found by rounds alone, or what a round has left is read off."""
     monkeypatch.setattr(P, "CUTOFF", cutoff)
     rng = random.Random(8)
     rows = [(g, float(rng.randrange(30)), rng.randrange(4)) for g in range(12) for _ in range(g * g)]
