@@ -109,10 +109,18 @@ def log_entries(spark: SparkSession, sf: str) -> DataFrame:
     return L.latest(table(spark, sf, "sources"))
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Different stars of each file that are stored, all and with positive parallax."""
+    rows = table(spark, sf, "canonical_rows").where("source_id is not null").select("dataset", "input_name", "source_id", A.positive_parallax(F.col("parallax")).alias("ok"))
+    stars = rows.groupBy("dataset", "input_name", "source_id").agg(F.max("ok").alias("ok"))
+    return stars.groupBy("dataset", "input_name").agg(F.count("*").alias("rows_found"), F.count_if("ok").alias("positive_found"))
+
+
 def to_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Files with rows that the log doesn't hold as finished: the work of a rerun."""
-    files = table(spark, sf, "canonical_rows").groupBy("dataset", "input_name").agg(F.count("*").alias("rows"))
-    return L.open_work(files, log_entries(spark, sf).where("ingestion_finished_at is not null"), ["dataset", "input_name"])
+    """The work of a rerun: files whose entry isn't finished, lacks its checksum or doesn't hold the stars that are stored."""
+    holds = log_entries(spark, sf).where("ingestion_finished_at is not null and source_bulk_md5 is not null")
+    both = _stored(spark, sf).join(holds.select("dataset", "input_name", "rows_written"), ["dataset", "input_name"], "left")
+    return both.where(~F.col("rows_written").eqNullSafe(F.col("positive_found"))).select("dataset", "input_name", F.col("rows_found").alias("rows"))
 
 
 def checksum_conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,9 +129,8 @@ def checksum_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layout_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that are there against the rows that the log says were written."""
-    there = table(spark, sf, "canonical_rows").groupBy("dataset", "input_name").agg(F.count("*").alias("rows_found"), F.count_if(A.positive_parallax(F.col("parallax"))).alias("positive_found"))
-    return L.validate(there, log_entries(spark, sf), ["dataset", "input_name"])
+    """Stars that are there against the rows that the log says were written."""
+    return L.validate(_stored(spark, sf), log_entries(spark, sf), ["dataset", "input_name"])
 
 
 def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +141,28 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     return L.progress(log_entries(spark, sf))
 
 
+def trusted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The log's URLs as a manifest against its checksums as a checksum list: names, md5, and what doesn't fit."""
+    s = log_entries(spark, sf)
+    lines = s.select(F.concat(F.coalesce(F.concat("source_bulk_md5", F.lit("\t")), F.lit("")), "source_bulk_url").alias("value"))
+    sums = s.where("source_bulk_md5 is not null").select(F.concat("source_bulk_md5", F.lit("  "), "input_name").alias("value"))
+    return L.trusted(L.manifest_lines(lines), L.checksum_lines(sums)).select("input_name", "md5", "mismatch", "missing")
+
+
+def part_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file's rows in the 32-byte format, a part a day: rows by the parts' sizes, and whether all parts are whole."""
+    rows = table(spark, sf, "canonical_rows").groupBy("input_name", F.to_date("ingested_at").alias("day")).agg((F.count("*") * binary.ROW.itemsize).alias("length"))
+    return L.part_rows(rows, binary.ROW.itemsize)
+
+
+def new_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files first seen after the first third of the days of ingestion."""
+    rows = table(spark, sf, "canonical_rows").select(F.col("input_name").alias("name"), F.to_date("ingested_at").alias("day"))
+    ends = rows.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    cut = F.broadcast(ends.select(F.date_add("a", F.floor(F.datediff("b", "a") / 3).cast("int")).alias("cut")))  # one row
+    return L.new_names(rows.join(cut, F.col("day") <= F.col("cut"), "left_semi"), rows)
+
+
 def file_names(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of each file's name and the directory that it belongs in, with the number of its parts."""
     s = log_entries(spark, sf)
@@ -142,7 +171,7 @@ def file_names(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ingest_counts, quality_filter, quality_hist, cartesian, luminosity, morton_cells, octant_counts, build_stats, galactic_projection, binary_round_trip, to_ingest, checksum_conflicts, layout_check, shard_assign, progress, file_names)
+    for f in (ingest_counts, quality_filter, quality_hist, cartesian, luminosity, morton_cells, octant_counts, build_stats, galactic_projection, binary_round_trip, to_ingest, checksum_conflicts, layout_check, shard_assign, progress, trusted_files, part_sizes, new_files, file_names)
 }
 
 _C = """c AS (SELECT *, CASE WHEN isfinite(parallax) AND isfinite(parallax_error) AND parallax > 0 AND parallax_error > 0
@@ -155,9 +184,10 @@ l AS (SELECT *, CASE WHEN isfinite(lum0) AND lum0 > 0 THEN lum0 END AS luminosit
   least(127, floor((x + 20000) / 40000 * 128)::BIGINT) AS ix, least(127, floor((y + 20000) / 40000 * 128)::BIGINT) AS iy, least(127, floor((z + 20000) / 40000 * 128)::BIGINT) AS iz FROM p),
 m AS (SELECT *, CASE WHEN inside THEN {' + '.join(f'(((i{a} >> {k}) & 1) << {3 * k + j})' for k in range(7) for j, a in enumerate('xyz'))} END AS leaf FROM l)"""
 _R, _U = galactic_axes()
-_LOG = """e AS (SELECT dataset, input_name, max(source_bulk_url) AS source_bulk_url, max(source_bulk_md5) AS source_bulk_md5, max(ingestion_started_at) AS ingestion_started_at,
-  max(ingestion_finished_at) AS ingestion_finished_at, max(rows_seen) AS rows_seen, max(rows_with_positive_parallax) AS rows_with_positive_parallax, max(rows_written) AS rows_written,
-  max(len(canonical_parts)) AS parts FROM sources GROUP BY ALL)"""
+_LOG = """e AS (SELECT *, len(canonical_parts) AS parts FROM sources QUALIFY row_number() OVER (PARTITION BY dataset, input_name
+  ORDER BY ingestion_started_at DESC NULLS LAST, source_bulk_url DESC NULLS LAST, source_bulk_md5 DESC NULLS LAST, ingestion_finished_at DESC NULLS LAST, rows_written DESC NULLS LAST) = 1)"""
+_STORED = """t AS (SELECT dataset, input_name, count(*) AS rows_found, count(*) FILTER (ok) AS positive_found FROM
+  (SELECT dataset, input_name, source_id, bool_or(parallax IS NOT NULL AND NOT (parallax <= 0)) AS ok FROM canonical_rows WHERE source_id IS NOT NULL GROUP BY ALL) GROUP BY ALL)"""
 
 SQL: dict[str, str] = {
     "ingest_counts": f"WITH {_C} SELECT input_name, count(*) AS seen, count(*) FILTER (parallax IS NOT NULL AND NOT (parallax <= 0)) AS positive, count(*) FILTER (q >= 5) AS good FROM c GROUP BY 1",
@@ -174,15 +204,20 @@ SQL: dict[str, str] = {
     "binary_round_trip": "SELECT source_id, count(*) AS n, "
     + ", ".join(f"max(CASE WHEN {c} IS NULL OR isnan({c}) THEN -9.0 ELSE {c}::DOUBLE END) AS {c.strip(chr(34))}" for c in ("ra", '"dec"', "parallax", "parallax_error", "phot_g_mean_mag", "bp_rp"))
     + " FROM canonical_rows GROUP BY 1",
-    "to_ingest": f"""WITH {_LOG}, f AS (SELECT dataset, input_name, count(*) AS rows FROM canonical_rows GROUP BY ALL)
-SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.dataset = f.dataset AND e.input_name = f.input_name AND ingestion_finished_at IS NOT NULL)""",
+    "to_ingest": f"""WITH {_LOG}, {_STORED} SELECT t.dataset, t.input_name, rows_found AS rows FROM t LEFT JOIN
+  (SELECT * FROM e WHERE ingestion_finished_at IS NOT NULL AND source_bulk_md5 IS NOT NULL) e ON e.dataset = t.dataset AND e.input_name = t.input_name WHERE e.rows_written IS DISTINCT FROM positive_found""",
     "checksum_conflicts": """SELECT source_bulk_url, count(DISTINCT source_bulk_md5) AS checksums FROM sources GROUP BY 1 HAVING count(DISTINCT source_bulk_md5) <> 1""",
-    "layout_check": f"""WITH {_LOG}, t AS (SELECT dataset, input_name, count(*) AS rows_found, count(*) FILTER (parallax IS NOT NULL AND NOT (parallax <= 0)) AS positive_found FROM canonical_rows GROUP BY ALL)
+    "layout_check": f"""WITH {_LOG}, {_STORED}
 SELECT coalesce(t.dataset, e.dataset) AS dataset, coalesce(t.input_name, e.input_name) AS input_name, coalesce(rows_found, 0) AS rows_found, coalesce(positive_found, 0) AS positive_found, coalesce(rows_written, 0) AS rows_written,
-  coalesce(rows_found, 0) = coalesce(rows_written, 0) AS valid FROM t FULL JOIN e ON t.dataset = e.dataset AND t.input_name = e.input_name""",
+  coalesce(positive_found, 0) = coalesce(rows_written, 0) AS valid FROM t FULL JOIN e ON t.dataset = e.dataset AND t.input_name = e.input_name""",
     "shard_assign": f"WITH {_LOG} SELECT dataset, input_name, ((row_number() OVER (ORDER BY dataset, input_name) - 1) % 7)::INT AS shard FROM e",
-    "progress": f"""WITH {_LOG} SELECT dataset, count(*) AS files, count(*) FILTER (ingestion_finished_at IS NOT NULL) AS succeeded, count(*) FILTER (ingestion_finished_at IS NULL) AS running,
-  sum(rows_written)::BIGINT AS rows_written, min(ingestion_started_at) AS first_start, max(ingestion_finished_at) AS last_finish FROM e GROUP BY 1""",
+    "progress": f"""WITH {_LOG}, x AS (SELECT *, ingestion_finished_at IS NOT NULL AS done, ingestion_finished_at IS NOT NULL AND (source_bulk_md5 IS NULL OR coalesce(rows_written < rows_with_positive_parallax, false)) AS failed FROM e)
+SELECT dataset, count(*) AS files, count(*) FILTER (done AND NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT done) AS running,
+  sum(rows_written)::BIGINT AS rows_written, min(ingestion_started_at) AS first_start, max(ingestion_finished_at) AS last_finish FROM x GROUP BY 1""",
+    "trusted_files": f"WITH {_LOG} SELECT input_name, max(source_bulk_md5) OVER (PARTITION BY input_name) AS md5, coalesce(source_bulk_md5 <> max(source_bulk_md5) OVER (PARTITION BY input_name), false) AS mismatch, max(source_bulk_md5) OVER (PARTITION BY input_name) IS NULL AS missing FROM e",
+    "part_sizes": "SELECT input_name, count(*) AS rows_found, true AS whole FROM canonical_rows GROUP BY 1",
+    "new_files": """WITH d AS (SELECT min(ingested_at::DATE) AS a, max(ingested_at::DATE) AS b FROM canonical_rows), c AS (SELECT a + ((b - a) // 3)::INT AS cut FROM d)
+SELECT DISTINCT input_name AS name FROM canonical_rows WHERE input_name IS NOT NULL AND input_name NOT IN (SELECT input_name FROM canonical_rows, c WHERE ingested_at::DATE <= cut AND input_name IS NOT NULL)""",
     "file_names": f"""WITH {_LOG} SELECT dataset, input_name, 'canonical/' || CASE WHEN starts_with(input_name, 'GaiaSource_') AND ends_with(input_name, '.csv.gz') THEN substr(input_name, 12, len(input_name) - 18) ELSE input_name END AS directory,
   trim(list_last(string_split(source_bulk_url, '/'))) AS url_name, parts::INT AS parts FROM e""",
 }
