@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skyfold.llm.leaks import edit_distances, find_leaks, words_of
 from skyfold.llm.packing import hilbert_keys, pack
+from skyfold.llm import queries as Q
+from skyfold.llm import splitting
 from skyfold.llm.splitting import split_texts
 from skyfold.llm.tokens import tokenizer
 
@@ -129,3 +131,63 @@ def test_pieces_cover_texts_within_the_limit(spark, limit, overlap):
             assert at == len(ids)
     assert len([r for r in got[65] if r.piece == 0]) == 2
     assert split_texts(df.limit(0), "id", "text", limit, overlap).count() == 0
+
+
+def greedy_cuts(text, tok, limit, overlap):
+    """Cut by cut, looking at every boundary of the text: the last natural one within reach, else word start, else token edge."""
+    ids = tok.encode(text)
+    data, ends, at = text.encode(), {0}, 0
+    edge = []
+    for i in ids:
+        edge.append(at)
+        at += int(tok.lengths[i])
+    edge.append(at)
+    lead = lambda b: b == len(data) or data[b] & 0xC0 != 0x80
+    whole = [k for k, b in enumerate(edge) if lead(b)]
+    chars = [len(text[: m.end()].encode()) for m in splitting._NATURAL.finditer(text)]
+    natural = set()
+    for b in chars:
+        k = max(i for i, e in enumerate(edge) if e <= b) if len(edge) < 4000 else int(np.searchsorted(edge, b, "right")) - 1
+        if lead(edge[k]) and not data[edge[k] : b].strip(b"\t\n\x0b\x0c\r "):
+            natural.add(k)
+    n = len(ids)
+    natural = sorted({k for k in natural if overlap < k < n} | {n})
+    words = [k for k in whole if overlap < k < n and data[edge[k]] in b" \n"]
+    edges = [k for k in whole if overlap < k < n]
+    cut, cuts = 0, []
+    while cut < n:
+        start = max(k for k in whole if k <= max(cut - overlap, 0))
+        reach = start + limit
+        cut = next(max(x) for x in ([k for k in group if cut < k <= reach] for group in (natural, words, edges)) if x)
+        cuts.append((start, cut))
+    return cuts
+
+
+def test_pieces_of_whole_tables_equal_the_greedy_cuts(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    tok = tokenizer()
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for limit, overlap, found in ((Q.PIECE, Q.OVERLAP, Q.QUERIES["p10_pieces"](spark, sf)), (48, 12, split_texts(table, "doc_id", "text", 48, 12))):
+        got = defaultdict(list)
+        for r in found.collect():
+            got[r.doc_id].append((r.piece, r.token_from, r.token_from + r.n_tokens))
+        want = {i: greedy_cuts(t, tok, limit, overlap) for i, t in docs.items() if t and len(tok.encode(t)) > limit}
+        assert {i: [x[1:] for x in sorted(v)] for i, v in got.items()} == want and len(want) >= 10
+
+
+def test_boundaries_listed_are_all_that_matter():
+    """Odd texts, small limits: the listed boundaries give the same cuts as all boundaries."""
+    rng = random.Random(5)
+    tok = tokenizer()
+    made = ["x" * 900, "漢字かな交じり文" * 80, "🙂👩‍👩‍👧‍👦" * 60, " \n\n " * 200 + "end", "a.b. c " * 150 + "z" * 500 + " tail. " * 40, text(rng, 500)]
+    for t in made:
+        for limit, overlap in ((64, 16), (40, 0), (30, 21)):
+            pos, kind, _, start, _ = splitting.boundaries(t, tok, limit, overlap)
+            cut, cuts = 0, []
+            n = len(tok.encode(t))
+            while cut < n:
+                begin = int(start[list(pos).index(cut)])
+                near = [k for k in (2, 1, 0) if ((pos > cut) & (pos <= begin + limit) & (kind == k)).any()][0]
+                cut = int(pos[(pos > cut) & (pos <= begin + limit) & (kind == near)].max())
+                cuts.append((begin, cut))
+            assert cuts == greedy_cuts(t, tok, limit, overlap)
