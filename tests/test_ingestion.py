@@ -109,6 +109,6 @@ def test_metadata_round_trip(spark, tmp_path):
 
 def test_broadcasts_count_bytes(spark):
     rows = spark.range(100).select("id", F.repeat(F.lit("x"), 10_000).alias("t"), F.array_repeat(F.lit(1), 100).alias("a"))
-    hint = lambda df: "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
     assert hint(maybe_broadcast(rows)) and not hint(maybe_broadcast(rows, max_bytes=500_000)) and not hint(maybe_broadcast(rows, max_rows=99))
     assert maybe_broadcast(rows.limit(0)).count() == 0
