@@ -5,6 +5,10 @@ window holds one of them unchanged. The corpus is searched for all pieces by an
 hit gives the window and the stretch of the document where it would lie, and Myers' bit-parallel algorithm finds the
 least number of edits there. Words are compared by 64-bit hashes.
 
+A run of few words is common, so most hits are chance. Each run of a document and each window of an item therefore
+carries a bitmap of the words around it; an edit loses at most one word of the window, so a hit whose stretch lacks the
+bits of more than `budget` words is dropped inside the join, before anything is shuffled. This loses no passage.
+
 Words are runs of letters and digits, after HTML tags became blanks, entities were decoded, format characters removed,
 compatibility forms unified and letters lower-cased.
 
@@ -34,21 +38,62 @@ _WORD = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
 
 
+_SEPARATE = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
 def words_of(text: str) -> list[str]:
-    text = html.unescape(_TAG.sub(" ", text))
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if text.isascii():  # has neither format characters nor compatibility forms
+        return text.lower().translate(_SEPARATE).split()
     return _WORD.findall(unicodedata.normalize("NFKC", _FORMAT.sub("", text)).lower())
 
 
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text the hashes of its words."""
-    for b in batches:
-        per = [words_of(t) if t else [] for t in b.column(1).to_pylist()]
-        coded = pa.array([w for p in per for w in p], pa.string()).dictionary_encode()
-        known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
-        h = known[coded.indices.to_numpy()] if len(coded) else known
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in per])]).astype(np.int64)
-        words = pa.LargeListArray.from_arrays(offsets, h.astype(np.uint64).view(np.int64)).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), words], names=["id", "words"])
+def _lists(per: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """A list column of so many values a row."""
+    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(per)]).astype(np.int64), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))
+
+
+def _runs(h: np.ndarray, per: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` words of each text, laid end to end, and their number per text."""
+    n = np.maximum(per - size + 1, 0)
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(per) - per - (np.cumsum(n) - n), n)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out = (out ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out, n
+
+
+def _bitmaps(h: np.ndarray, per: np.ndarray, before: int, after: int, n: np.ndarray) -> np.ndarray:
+    """For the first n positions of each text, the bitmap of the words from `before` before it to `after` after it."""
+    width, first = before + after, np.cumsum(per) - per
+    gap = width * np.arange(1, len(per) + 1)  # texts with gaps between them, so that none reaches into another
+    bits = np.zeros(len(h) + width * (len(per) + 1), np.uint64)
+    bits[np.arange(len(h)) + np.repeat(gap, per)] = np.uint64(1) << (h >> np.uint64(58))
+    span = 1
+    while span * 2 <= width:  # bits of so many words from each place on
+        bits, span = bits[:-span] | bits[span:], span * 2
+    at = np.arange(n.sum()) + np.repeat(first + gap - (np.cumsum(n) - n), n) - before
+    return bits[at] | bits[at + width - span]
+
+
+def _hash_words(size: int, before: int, after: int):
+    """Per text the hashes of its words and, at each run of `size` words, the run's hash and the bitmap around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [words_of(t) if t else [] for t in b.column(1).to_pylist()]
+            coded = pa.array([w for p in texts for w in p], pa.string()).dictionary_encode()
+            known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
+            h = known[coded.indices.to_numpy()].astype(np.uint64) if len(coded) else np.zeros(0, np.uint64)
+            per = np.array([len(p) for p in texts], np.int64)
+            runs, n = _runs(h, per, size)
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(per, h), _lists(n, runs), _lists(n, _bitmaps(h, per, before, after, n))], names=["id", "words", "runs", "around"])
+
+    return run
 
 
 def edit_distances(patterns: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -94,31 +139,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     """Rows (doc, item, edits): documents with a stretch within `budget` word edits of some `words` consecutive words of the item."""
     if not 0 <= budget < words <= 64:
         raise ValueError("budget must be below words, and words at most 64")
-    size = words // (budget + 1)
+    size, reach = words // (budget + 1), words + 2 * budget
     scratch = Scratch(docs.sparkSession)
 
     def hashed(df: DataFrame, ident: str, name: str) -> DataFrame:
         kind = df.schema[ident].dataType.simpleString()
         rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))
-        words_ = rows.mapInArrow(_hash_words, f"id {kind}, words array<bigint>")
+        # A piece is one of the window's budget + 1, so a run's window begins at most so far before it.
+        words_ = rows.mapInArrow(_hash_words(size, budget * size + budget, words + budget), f"id {kind}, words array<bigint>, runs array<bigint>, around array<bigint>")
         # The number tells rows apart, so that rows of one identifier don't meet each other; it is written, hence stable.
         return scratch.write(words_.withColumn("row", F.monotonically_increasing_id()), name)
 
-    corpus, tests = hashed(docs, doc, "corpus").withColumnRenamed("id", "doc"), hashed(items, item, "tests").withColumnRenamed("id", "item").drop("row")
-    starts = F.sequence(F.lit(1), F.size("words") - size + 1)
-    runs = F.transform(starts, lambda k: F.xxhash64(F.slice("words", k, size)))
-    long_enough = F.size("words") >= words
-    pieces = tests.where(long_enough).select("item", F.size("words").alias("__len"), F.posexplode(runs).alias("__ipos", "__run"))
-    hits = corpus.where(F.size("words") >= size).select("row", F.posexplode(runs).alias("__dpos", "__run")).join(maybe_broadcast(pieces), "__run").drop("__run")
-    # Documents first, then the items, so that what is shuffled is four numbers a hit.
-    sides = hits.join(corpus, "row").join(maybe_broadcast(tests.withColumnRenamed("words", "__iwords")), "item")
-    # The piece may be any of the window's budget + 1; its place gives the window and where the document would hold it.
-    sides = sides.withColumn("__at", F.explode(F.array(*[F.lit(k * size) for k in range(budget + 1)])))
-    window, start = F.col("__ipos") - F.col("__at"), F.col("__dpos") - F.col("__at") - budget
-    sides = sides.where((window >= 0) & (window + words <= F.col("__len")))
-    reach = words + 2 * budget
-    first = F.greatest(start, F.lit(0))
-    sides = sides.select("doc", "item", F.slice("__iwords", window + 1, F.lit(words)).alias("p"), F.slice("words", first + 1, start + reach - first).alias("t"))
+    corpus, tests = hashed(docs, doc, "corpus"), hashed(items, item, "tests").withColumnRenamed("id", "item")
+    # Pieces: every run of an item, once for each place that it may have in a window, with the window's words as bits.
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 58).cast("int"))
+    pieces = tests.where(F.size("words") >= words).select(F.col("row").alias("__irow"), "words", F.posexplode("runs").alias("__ipos", "__run"))
+    pieces = pieces.withColumn("__at", F.explode(F.array(*[F.lit(k * size) for k in range(budget + 1)]))).withColumn("__window", F.col("__ipos") - F.col("__at"))
+    pieces = pieces.where((F.col("__window") >= 0) & (F.col("__window") + words <= F.size("words")))
+    window_bits = F.aggregate(F.slice("words", F.col("__window") + 1, F.lit(words)), F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))
+    pieces = pieces.select("__irow", "__run", "__at", "__window", window_bits.alias("__bits"))
+    runs = corpus.where(F.size("words") >= size).select("row", F.posexplode(F.arrays_zip("runs", "around")).alias("__dpos", "__r")).select("row", "__dpos", F.col("__r.runs").alias("__run"), F.col("__r.around").alias("__around"))
+    # Words whose bits are missing around the run: each is lost, and two lost words may share a bit.
+    lost = F.bit_count(F.col("__bits").bitwiseAND(F.bitwise_not("__around")))
+    hits = runs.join(maybe_broadcast(pieces, scratch), "__run").where(lost <= budget)
+    hits = hits.select("row", "__irow", "__window", (F.col("__dpos") - F.col("__at") - budget).alias("__start")).distinct()
+    few = maybe_broadcast(hits, scratch)
+    sides = corpus.select(F.col("id").alias("doc"), "row", "words").join(few, "row").join(maybe_broadcast(tests.select("item", F.col("row").alias("__irow"), F.col("words").alias("__iwords")), scratch), "__irow")
+    first = F.greatest(F.col("__start"), F.lit(0))
+    sides = sides.select("doc", "item", F.slice("__iwords", F.col("__window") + 1, F.lit(words)).alias("p"), F.slice("words", first + 1, F.col("__start") + reach - first).alias("t"))
     # An edit loses one word of the window at most.
     sides = sides.where(F.size(F.array_except("p", "t")) <= budget)
     kinds = f"doc {docs.schema[doc].dataType.simpleString()}, item {items.schema[item].dataType.simpleString()}, edits long"

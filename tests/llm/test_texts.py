@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyfold.llm import leaks
 from skyfold.llm.leaks import edit_distances, find_leaks, words_of
 from skyfold.llm.packing import hilbert_keys, pack
 from skyfold.llm import queries as Q
@@ -72,6 +73,72 @@ def test_words():
     assert words_of("A<b class='x'>B</b> &amp; café_No­te ﬁx a < b > c &lt;i&gt;") == ["a", "b", "café", "note", "fix", "a", "b", "c", "i"]
 
 
+def plain_words(t):
+    import html
+    import re
+    import unicodedata
+
+    t = html.unescape(re.sub(r"</?[^\W\d_][^<>]*>", " ", t))
+    t = unicodedata.normalize("NFKC", "".join(c for c in t if unicodedata.category(c) != "Cf")).lower()
+    return "".join(c if c.isalnum() else " " for c in t).split()
+
+
+def test_words_of_whole_tables(spark, sf):
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        if r.text:
+            assert words_of(r.text) == [w for w in plain_words(r.text)]
+
+
+def test_bitmaps_cover_the_words_around():
+    rng = np.random.default_rng(2)
+    per = np.array([0, 1, 5, 40, 0, 3])
+    h = rng.integers(0, 1 << 63, per.sum(), dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    n = np.maximum(per - 2, 0)
+    got, k = leaks._bitmaps(h, per, 5, 9, n), 0
+    for a, size, m in zip(np.cumsum(per) - per, per, n):
+        for i in range(m):
+            around = h[a + max(i - 5, 0) : a + min(i + 9, size)]
+            assert got[k] == np.bitwise_or.reduce(np.uint64(1) << (around >> np.uint64(58)))
+            k += 1
+    assert k == len(got)
+
+
+def test_found_leaks_of_whole_tables(spark, sf):
+    """p9_found against a search for all runs of twelve words, on the smallest tables as a whole."""
+    runs = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = plain_words(r.text or "")
+        for k in range(len(w) - 11):
+            runs[tuple(w[k : k + 12])].add(r.item_id)
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        w = plain_words(r.text or "")
+        want |= {(r.doc_id, i) for k in range(len(w) - 11) for i in runs.get(tuple(w[k : k + 12]), ())}
+    assert {tuple(r) for r in Q.QUERIES["p9_found"](spark, sf).select("doc_id", "item_id").collect()} == want and want
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_passages_are_found(spark, sf, edits):
+    """Passages of the benchmark with one or two word edits, planted in documents: recall is 1, as the pigeonhole promises."""
+    rng = random.Random(edits)
+    items = [(r.item_id, words_of(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text and len(words_of(r.text)) >= 12]
+    docs = [words_of(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text]
+    planted, want = [], set()
+    for n in range(200):
+        item, w = items[n % len(items)]
+        k = rng.randrange(len(w) - 11)
+        run = w[k : k + 12]
+        for _ in range(edits):
+            j = rng.randrange(len(run))
+            run[j : j + 1] = rng.choice([[], ["zzq"], ["zzq", run[j]]])
+        body = docs[n % len(docs)]
+        at = rng.randrange(len(body) + 1)
+        planted.append((n, " ".join(body[:at] + run + body[at:])))
+        want.add((n, item))
+    got = {(r.n, r.item_id): r.edits for r in find_leaks(spark.createDataFrame(planted, "n long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet"), "n", "item_id").collect()}
+    assert want <= set(got) and all(got[x] <= edits for x in want)
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(4)
     items = [(i, text(rng, 30)) for i in range(12)] + [(50, "too short"), (51, ""), (52, None), (None, text(rng, 20))]
