@@ -130,7 +130,7 @@ def reached_cuts(jumps: DataFrame, cuts: DataFrame, scratch: Scratch, keys: list
 
 
 def successors(bounds: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Pointers (keys, pos, to): each boundary and the farthest legal one after it.
+    """The boundaries with to, the farthest legal one after each; null for the last.
 
     Boundaries and the ends of their reach are put in one order of a text; what was last seen of each kind at such an
     end is the farthest of its kind within reach.
@@ -138,9 +138,9 @@ def successors(bounds: DataFrame, keys: list[str], limit: int) -> DataFrame:
     both = bounds.withColumn("__e", F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(False).alias("end")), F.struct((F.col("start") + limit).alias("at"), F.lit(True).alias("end")))))
     upto = W.partitionBy(*keys).orderBy("__e.at", "__e.end").rowsBetween(W.unboundedPreceding, 0)
     last = lambda kind: F.max(F.when(~F.col("__e.end") & (F.col("kind") == kind), F.col("pos"))).over(upto)
-    seen = both.select(*keys, "pos", F.col("__e.end").alias("end"), *[last(kind).alias(f"__{kind}") for kind in (NATURAL, WORD, EDGE)]).where("end")
+    seen = both.select("*", *[last(kind).alias(f"__{kind}") for kind in (NATURAL, WORD, EDGE)]).where("__e.end")
     ahead = F.coalesce(*[F.when(F.col(f"__{kind}") > F.col("pos"), F.col(f"__{kind}")) for kind in (NATURAL, WORD, EDGE)])
-    return seen.select(*keys, "pos", ahead.alias("to")).where("to is not null")
+    return seen.select(*bounds.columns, ahead.alias("to"))
 
 
 def split_texts(docs: DataFrame, ident: str, text: str, limit: int, overlap: int, tokenizer_path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
@@ -153,8 +153,9 @@ def split_texts(docs: DataFrame, ident: str, text: str, limit: int, overlap: int
     # A token is at least one byte, so shorter texts can't exceed the limit.
     long_texts = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.octet_length("text") > limit))
     bounds = long_texts.mapInArrow(_list_boundaries(tokenizer_path, pattern, limit, overlap), f"id {kind}, hash long, pos long, kind int, char long, start long, start_char long")
-    bounds = scratch.write(bounds.repartition(*keys).dropDuplicates([*keys, "pos"]), "bounds")
-    jumps = scratch.write(successors(bounds.repartition(*keys), keys, limit), "jumps")
+    # One shuffle by text serves the removal of repeats and the search for successors.
+    bounds = scratch.write(successors(bounds.repartition(*keys).dropDuplicates([*keys, "pos"]), keys, limit), "bounds")
+    jumps = bounds.select(*keys, "pos", "to").where("to is not null")
     cuts = reached_cuts(jumps, bounds.where("pos = 0").select(*keys, "pos"), scratch, keys)
     there = cuts.where("pos > 0").join(bounds, [*keys, "pos"])
     listed = there.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("kind") == NATURAL).alias("natural"), "char", "start", "start_char"))).alias("cuts"))
