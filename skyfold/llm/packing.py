@@ -5,6 +5,9 @@ Hilbert curve. Items are range-sorted by that key, so each task has a stretch of
 together: an item goes into the open container that it fills best. Containers hold whole texts; only a text larger than
 a container is cut, into full containers and a rest that is packed like any other.
 
+Empty texts take no room, so any number of them goes to one container of a stretch, at once; other items are at most as
+many in a container as it has tokens, and what is held of open containers is bounded by that.
+
 Defined cases: a null text is an empty one; an empty text has 0 tokens and is assigned, too; null and repeated
 identifiers each come out, row by row; copies share a curve position and are told apart by identifier, so that they
 don't all fall into one task; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +29,7 @@ from skyfold.llm.tokens import PATTERN, TOKENIZER, tokenizer
 DIMS, BITS = 4, 8
 #: A task's stretch of the curve, in tokens.
 TASK_TOKENS = 4_000_000
-OPEN, MOST_ITEMS = 64, 20_000
+OPEN = 64
 
 
 def token_signs(n: int, dims: int) -> np.ndarray:
@@ -93,6 +96,7 @@ def _pack(capacity: int):
         made, held = 0, {}
         free: list[tuple[int, int]] = []  # of the open containers: space, number
         done: list[tuple] = []
+        home, moves = None, True  # where empty texts go; a container that is still open then must keep its number
 
         def close(c: int) -> None:
             done.extend((*row, base + c) for row in held.pop(c))
@@ -102,32 +106,44 @@ def _pack(capacity: int):
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["__id", "__piece", "__from", "__n", "__c"])
 
+        def fresh() -> int:
+            nonlocal made
+            held[made] = []
+            made += 1
+            return made - 1
+
         kind = None
         for b in batches:
             kind = b.column(0).type
             for row in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 n = row[3]
+                if n == 0:
+                    if home is None:
+                        if not free:
+                            free.append((capacity, fresh()))
+                        home, moves = free[0][1], False
+                    done.append((*row, base + home))
+                    continue
                 at = bisect_left(free, (n, -1))
                 if at < len(free):
                     space, c = free.pop(at)
                 else:
                     if len(free) >= OPEN:
                         close(free.pop(0)[1])  # the fullest
-                    space, c = capacity, made
-                    made += 1
-                    held[c] = []
+                    space, c = capacity, fresh()
                 held[c].append(row)
-                if space == n or len(held[c]) >= MOST_ITEMS:
+                if space == n:
                     close(c)
+                    home = c if home is None else home
                 else:
                     insort(free, (space - n, c))
             if len(done) > 50_000:
                 yield out()
         # What is still open at the stretch's end is put together where it fits.
         kept: list[tuple[int, int]] = []
-        for space, c in free:
+        for space, c in sorted(free, key=lambda x: (moves or x[1] != home, x)):
             at = bisect_left(kept, (capacity - space, -1))
-            if at < len(kept):
+            if at < len(kept) and (moves or c != home):
                 room, into = kept.pop(at)
                 held[into] += held.pop(c)
                 insort(kept, (room - (capacity - space), into))

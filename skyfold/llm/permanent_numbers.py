@@ -3,7 +3,8 @@
 A store keeps one uniform number per identifier, given at first sight: new identifiers are those that an anti-join with
 the store leaves, and only they are appended. The sample is every identifier whose number is below its group's threshold;
 the ledger of thresholds only ever rises. Numbers come from a keyed hash of seed, group and identifier, so a lost store
-could be rebuilt, and persisting them keeps old choices should the hash or the seeds change.
+could be rebuilt, and persisting them keeps old choices should the hash or the seeds change. A store has one writer at a
+time; compact() puts its loads together.
 
 Defined cases: null identifiers get no number; null keys form a group; an identifier that occurs more than once, in one
 piece or in several, has one number, with the lowest piece of its first load; a group that `seeds` doesn't list, or whose
@@ -29,23 +30,38 @@ def keyed_uniform(*parts: Column) -> Column:
 
 
 class NumberStore:
-    """Permanent numbers of identifiers under a folder that all executors share: numbers/ (load=k/) and thresholds/ (load=k/)."""
+    """Permanent numbers of identifiers under a folder that all executors share: numbers/gen=g/load=k and thresholds.
+
+    The highest generation with a complete first load holds; compact() makes the next one.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], ident: str):
         self.spark, self.path, self.keys, self.ident = spark, path.rstrip("/"), list(keys), ident
-        self.loads = 0
-        jvm = spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.generation = self.loads = 0
+        fs, root = self._fs(f"{self.path}/numbers")
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        self.generation = max((g for n in names if n.startswith("gen=") and self._complete(g := int(n[4:]), 0)), default=0)
         # A load counts once it is complete; the next insert overwrites one that broke off.
-        while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/numbers/load={self.loads}/_SUCCESS")):
+        while self._complete(self.generation, self.loads):
             self.loads += 1
 
+    def _fs(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _folder(self, generation: int, load: int) -> str:
+        return f"{self.path}/numbers/gen={generation}/load={load}"
+
+    def _complete(self, generation: int, load: int) -> bool:
+        fs, mark = self._fs(f"{self._folder(generation, load)}/_SUCCESS")
+        return fs.exists(mark)
+
     def numbers(self, schema: str | None = None) -> DataFrame | None:
         """keys, ident, first_piece, u; None before the first insert."""
         if not self.loads:
             return None
         reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(*[f"{self.path}/numbers/load={k}" for k in range(self.loads)])
+        return reader.parquet(*[self._folder(self.generation, k) for k in range(self.loads)])
 
     def insert(self, piece: DataFrame, seeds: DataFrame, arrived: str, seed: str = "seed") -> None:
         """Give numbers to identifiers of piece that the store doesn't have yet. arrived: a column that orders pieces."""
@@ -60,9 +76,19 @@ class NumberStore:
         fresh = join_nulls(fresh, maybe_broadcast(seeds), self.keys, "left")
         u = keyed_uniform(F.coalesce("__seed", F.lit(0)), *[F.col(c) for c in names])
         # No number is written twice: a load is a folder of its own, and a repeated insert finds nothing new.
-        fresh.select(*names, "first_piece", u.alias("u")).write.mode("overwrite").parquet(f"{self.path}/numbers/load={self.loads}")
+        fresh.select(*names, "first_piece", u.alias("u")).write.mode("overwrite").parquet(self._folder(self.generation, self.loads))
         self.loads += 1
 
+    def compact(self) -> None:
+        """Put all numbers into one load of a new generation, and then drop the old one. Results that read it must have been stored."""
+        known = self.numbers()
+        if known is None or self.loads == 1:
+            return
+        known.write.mode("overwrite").parquet(self._folder(self.generation + 1, 0))
+        fs, old = self._fs(f"{self.path}/numbers/gen={self.generation}")
+        self.generation, self.loads = self.generation + 1, 1
+        fs.delete(old, True)
+
     def raise_thresholds(self, thresholds: DataFrame) -> DataFrame:
         """Ledger the thresholds (keys, threshold) and return, per group, the highest one so far."""
         path = f"{self.path}/thresholds"

@@ -26,6 +26,11 @@ from pyspark.sql import types as T
 from skyfold.common import Scratch, join_nulls, maybe_broadcast
 
 
+def _stream(seed: int, key: tuple, *more: int) -> np.random.Generator:
+    """Random numbers of their own for every seed (whatever its sign), group and purpose."""
+    return np.random.default_rng([abs(seed), int(seed < 0), *more, *repr(key).encode()])
+
+
 class _Reservoir:
     """Algorithm L over positions: offer() takes a run of rows and touches only those that enter."""
 
@@ -74,7 +79,7 @@ def _sample_partition(keys: list[str]):
                 first = b.slice(int(at[0]), 1).to_pylist()[0]
                 key = tuple(first[k] for k in keys)
                 if key not in held:
-                    held[key] = _Reservoir(first["__capacity"], np.random.default_rng([abs(first["__seed"]), part, *repr(key).encode()]))
+                    held[key] = _Reservoir(first["__capacity"], _stream(first["__seed"], key, 0, part))
                     rows[key] = {}
                 r = held[key]
                 entered = r.offer(nth * (1 << 32) + at)
@@ -106,7 +111,7 @@ def _hypergeometric(keys: list[str]):
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__part")
-        rng = np.random.default_rng([abs(int(pdf["__seed"].iloc[0])), 1, len(pdf)])
+        rng = _stream(int(pdf["__seed"].iloc[0]), tuple(pdf[k].iloc[0] for k in keys), 1, len(pdf))
         n = pdf["__n"].to_numpy(np.int64)
         take, left, want = [], int(n.sum()), min(int(pdf["__capacity"].iloc[0]), int(n.sum()))
         for x in n:

@@ -1,7 +1,8 @@
 """The N highest items of every group.
 
 Every partition keeps a bounded heap of the best N items per group and hands on only those; after a shuffle by group the
-heaps are merged. A group of any size thus sends at most N rows per partition.
+heaps are merged. A group of any size thus sends at most N rows each time that a partition hands on its heaps: at its
+end, and before it where so many groups occur that more than half of HOLD_ROWS rows stay.
 
 Order: score descending, then identifier ascending. Defined cases: rows whose score is null or NaN or whose identifier
 is null don't count; infinite scores do; null keys form a group; an identifier that occurs several times in a group

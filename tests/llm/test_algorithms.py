@@ -154,11 +154,16 @@ def test_numbers_are_permanent(spark):
     assert ("b", 1) in {x[:2] for x in one} and (None, 2) in {x[:2] for x in one}
     again = NumberStore(spark, root, ["g"], "id")
     assert again.loads == 2 and again.numbers().count() == 902
-    first.write.parquet(f"{root}/numbers/load=2")  # a load that broke off has no mark
-    os.remove(f"{root.removeprefix('file://')}/numbers/load=2/_SUCCESS")
+    first.write.parquet(f"{root}/numbers/gen=0/load=2")  # a load that broke off has no mark
+    os.remove(f"{root.removeprefix('file://')}/numbers/gen=0/load=2/_SUCCESS")
     assert NumberStore(spark, root, ["g"], "id").loads == 2
     again.insert(first.limit(0), seeds, "batch")
     assert {(r.g, r.id, r.u) for r in again.sample(t(0.05)).collect()} == two
+    again.compact()
+    assert again.loads == 1 and {(r.g, r.id, r.u) for r in NumberStore(spark, root, ["g"], "id").sample(t(0.05)).collect()} == two
+    later_still = spark.createDataFrame([("a", 5000, 2)], "g string, id long, batch int")
+    again.insert(later_still, seeds, "batch")
+    assert NumberStore(spark, root, ["g"], "id").numbers().count() == 903
     other = NumberStore(spark, Scratch(spark).root, ["g"], "id")
     other.insert(later.repartition(3), seeds, "batch")
     assert {(r.g, r.id, r.u) for r in other.sample(t(0.2)).collect()} == two

@@ -51,6 +51,18 @@ def test_packing_keeps_texts_whole(spark):
     assert pack(df.limit(0), "id", "text", 256).count() == 0
 
 
+def test_any_number_of_empty_texts_shares_a_container(spark):
+    rows = [(i, "" if i % 2 else None) for i in range(3000)]
+    for more in ([], [(9000 + i, "some words of a text " * (1 + i % 7)) for i in range(60)]):
+        got = pack(spark.createDataFrame(rows + more, "id long, text string"), "id", "text", 64).collect()
+        assert len(got) == len(rows) + len(more) + sum(r.piece > 0 for r in got)
+        used = defaultdict(int)
+        for r in got:
+            used[r.container] += r.n_tokens
+        assert max(used.values()) <= 64 and len({r.container for r in got if r.n_tokens == 0}) == 1
+        assert len(used) <= max(1, -(-sum(used.values()) // 64) + 1)
+
+
 def plain_edits(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
