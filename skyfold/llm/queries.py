@@ -74,14 +74,14 @@ def p5_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Stars arrive in two loads, the batches before the last one and then all; the second finds only what is new."""
+    """Stars arrive in two loads, the batches before the last one and then that; the second numbers only what is new."""
     points = table(spark, sf, "points").select("dataset", "source_id", "batch")
     seeds = table(spark, sf, "reservoirs")
     last = points.agg(F.max("batch")).first()[0]
     store = NumberStore(spark, Scratch(spark).root, ["dataset"], "source_id")
     if last is not None:
         store.insert(points.where(F.col("batch") < last), seeds, "batch")
-    store.insert(points, seeds, "batch")
+    store.insert(points.where(F.col("batch").isNull() | (F.col("batch") >= F.lit(last))), seeds, "batch")
     thresholds = seeds.select("dataset").distinct().withColumn("threshold", F.lit(STABLE_RATE))
     return store.sample(thresholds).select("dataset", "source_id", "u")
 
