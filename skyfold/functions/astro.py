@@ -51,11 +51,14 @@ def _mix(t: Column, a: tuple, b: tuple, lo: float, width: float) -> list[Column]
     return [x + (y - x) * (t - lo) / width for x, y in zip(a, b)]
 
 
+#: The colour ramp's stops, blue, white, yellow and red.
+RAMP = (0.6, 0.7, 1.0), (1.0, 0.95, 0.9), (1.0, 0.85, 0.4), (1.0, 0.3, 0.1)
+
+
 def colour(bp_rp: Column) -> list[Column]:
     """Red, green, blue for a colour index, from blue over white and yellow to red; white where it is missing."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (bp_rp + 0.5) / 3.5))
-    # The ramp's stops.
-    blue, white, yellow, red = (0.6, 0.7, 1.0), (1.0, 0.95, 0.9), (1.0, 0.85, 0.4), (1.0, 0.3, 0.1)
+    blue, white, yellow, red = RAMP
     low, mid, high = _mix(t, blue, white, 0.0, 0.33), _mix(t, white, yellow, 0.33, 0.33), _mix(t, yellow, red, 0.66, 0.34)
     return [F.when(~finite(bp_rp), 1.0).when(t < 0.33, a).when(t < 0.66, b).otherwise(c) for a, b, c in zip(low, mid, high)]
 

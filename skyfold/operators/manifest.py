@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyfold.common import Scratch, join_nulls, maybe_broadcast
+from skyfold.common import Scratch, maybe_broadcast, with_place
 
 
 def input_name(url: Column) -> Column:
@@ -91,24 +91,6 @@ def validate(found: DataFrame, log: DataFrame, on: Sequence[str]) -> DataFrame:
     return both.select(*on, *[c.alias(n) for n, c in cols.items()], (cols["positive_found"] == cols["rows_written"]).alias("valid"))
 
 
-def with_place(df: DataFrame, order: Sequence[Column | str], name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """df with each row's place, from 0, in the order of its group: by a range shuffle, so that no group is one task.
-
-    Order must tell all rows apart, or equal ones come in any order.
-    """
-    scratch = Scratch(df.sparkSession)
-    keyed = df.withColumns({f"__o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)})
-    by = [*keys, *[f"__o{i}" for i in range(len(order))]]
-    placed = keyed.repartitionByRange(*by).sortWithinPartitions(*by).drop(*by[len(keys):]).withColumn("__id", F.monotonically_increasing_id())
-    placed = scratch.write(placed.withColumn("__part", F.shiftright("__id", 33)), "placed")
-    # The numbers of rows before: one row per part and group, so a window over them is small.
-    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    parts = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
-    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    joined = join_nulls(placed, maybe_broadcast(parts, scratch), [*keys, "__part"])
-    return joined.withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__part", "__first", "__before")
-
-
 def shards(inputs: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     """Round robin over the sorted inputs."""
     if count < 1:

@@ -1,4 +1,4 @@
-"""Queries on the octree: counts, samples, layout, searches. One tree per data set, 64 samples a node."""
+"""Queries on the octree: counts, samples, layout, searches. One tree per data set; a node has as many samples as the data set's reservoir."""
 
 from __future__ import annotations
 
@@ -13,21 +13,26 @@ from skyfold.functions import morton as M
 from skyfold.functions.hashing import FIRST, SECOND, STEP
 from skyfold.operators import octree as T
 
-KEYS, DEPTH, SAMPLE, HALF = ["dataset"], 7, 64, A.half_extent()
+KEYS, DEPTH, SAMPLE, HALF = ["dataset"], 7, 256, A.half_extent()
 CODE_DEPTH = 9
 LOW, HIGH, CENTRE, RADIUS = (-300.0, -400.0, -200.0), (350.0, 250.0, 500.0), (100.0, -50.0, 20.0), 400.0
 
 
 def stars(spark: SparkSession, sf: str) -> DataFrame:
-    """Each star once, with light, in its leaf."""
-    p = table(spark, sf, "points")
+    """Each star once, with light, in its leaf; where no cell is stored, it follows from the position."""
     lit = A.finite(A.d("luminosity")) & (F.col("luminosity") > 0)
-    rows = p.where(F.col("morton").isNotNull() & lit).select("dataset", "source_id", *[A.d(c).alias(c) for c in ("x", "y", "z", "luminosity", "bp_rp")], "morton").distinct()
-    return rows.withColumn("leaf", M.prefix_at(F.col("morton"), CODE_DEPTH, DEPTH))
+    p = table(spark, sf, "points").where(lit).select("dataset", "source_id", *[A.d(c).alias(c) for c in ("x", "y", "z", "luminosity", "bp_rp")], "morton")
+    p = M.with_cell(p, "__code", "x", "y", "z", HALF, CODE_DEPTH).withColumn("morton", F.coalesce("morton", "__code")).drop("__code")
+    return p.where("morton is not null").distinct().withColumn("leaf", M.prefix_at(F.col("morton"), CODE_DEPTH, DEPTH))
+
+
+def budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of a node, by data set."""
+    return table(spark, sf, "reservoirs").groupBy("dataset").agg(F.max("capacity").alias("k"))
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return T.layout(stars(spark, sf), KEYS, "leaf", DEPTH, SAMPLE)
+    return T.layout(stars(spark, sf), KEYS, "leaf", DEPTH, budget(spark, sf))
 
 
 def level_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +48,7 @@ def node_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def node_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return T.samples(stars(spark, sf), KEYS, "leaf", "source_id", DEPTH, SAMPLE).select("dataset", "depth", "prefix", "source_id", "n")
+    return T.samples(stars(spark, sf), KEYS, "leaf", "source_id", DEPTH, budget(spark, sf)).select("dataset", "depth", "prefix", "source_id", "n")
 
 
 def root_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,19 +59,25 @@ def root_sample(spark: SparkSession, sf: str) -> DataFrame:
 def flux_conservation(spark: SparkSession, sf: str) -> DataFrame:
     """Light of each level's samples, boosted, beside the light of the stars that they stand for."""
     s = stars(spark, sf)
-    kept = T.samples(s, KEYS, "leaf", "source_id", DEPTH, SAMPLE).groupBy("dataset", "depth").agg(F.sum(F.col("luminosity") * F.col("boost")).alias("sampled"), F.count("*").alias("samples"))
+    kept = T.samples(s, KEYS, "leaf", "source_id", DEPTH, budget(spark, sf)).groupBy("dataset", "depth").agg(F.sum(F.col("luminosity") * F.col("boost")).alias("sampled"), F.count("*").alias("samples"))
     light = s.groupBy("dataset", "leaf").agg(F.sum("luminosity").alias("light"), F.count("*").alias("stars")).withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))))
     cells = light.groupBy("dataset", "depth", F.call_function("shiftright", "leaf", (3 * (DEPTH - F.col("depth"))).cast("int")).alias("prefix")).agg(F.sum("light").alias("light"), F.sum("stars").alias("stars"))
-    true = cells.where(F.col("stars") > SAMPLE).groupBy("dataset", "depth").agg(F.sum("light").alias("light"))
+    true = cells.join(budget(spark, sf), "dataset").where("stars > k and k > 0").groupBy("dataset", "depth").agg(F.sum("light").alias("light"))
     return kept.join(true, ["dataset", "depth"]).select("dataset", "depth", "samples", F.round("sampled", 2).alias("sampled"), F.round("light", 2).alias("light"))
 
 
 def point_table(spark: SparkSession, sf: str) -> DataFrame:
     """Points stored per level: all stars in leaves, boosted samples above."""
-    p = T.all_points(stars(spark, sf), KEYS, "leaf", "source_id", DEPTH, SAMPLE)
+    p = T.all_points(stars(spark, sf), KEYS, "leaf", "source_id", DEPTH, budget(spark, sf))
     return p.groupBy("dataset", "depth").agg(F.count("*").alias("points"), F.countDistinct("prefix").alias("nodes"), F.round(F.sum("luminosity"), 2).alias("light"))
 
 
+def point_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The places of each node's points in the point table: the node table's ranges, made from the points themselves."""
+    p = T.with_places(T.all_points(stars(spark, sf), KEYS, "leaf", "source_id", DEPTH, budget(spark, sf)), KEYS, DEPTH, "source_id")
+    return p.groupBy("dataset", "depth", "prefix").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("points"))
+
+
 def subtree_counts(spark: SparkSession, sf: str) -> DataFrame:
     return T.subtree_counts(nodes(spark, sf), KEYS)
 
@@ -94,15 +105,20 @@ def stored_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (level_counts, child_masks, node_layout, node_sample, root_sample, flux_conservation, point_table, subtree_counts, box_query, radius_query, sphere_cells, stored_nodes)
+    f.__name__: f for f in (level_counts, child_masks, node_layout, node_sample, root_sample, flux_conservation, point_table, point_places, subtree_counts, box_query, radius_query, sphere_cells, stored_nodes)
 }
 
-_STARS = f"""s AS (SELECT DISTINCT dataset, source_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, luminosity::DOUBLE AS luminosity, bp_rp::DOUBLE AS bp_rp, morton,
-  morton >> {3 * (CODE_DEPTH - DEPTH)} AS leaf FROM points WHERE morton IS NOT NULL AND isfinite(luminosity) AND luminosity > 0)"""
-COUNTS = f"""{_STARS}, c AS (SELECT dataset, d::INT AS depth, leaf >> (3 * ({DEPTH} - d))::INT AS prefix, count(*) AS n, sum(luminosity) AS light FROM s, range({DEPTH + 1}) r(d) GROUP BY ALL)"""
+_CELL_OF = " + ".join(f"(((j{a} >> {k}) & 1) << {3 * k + i})" for k in range(CODE_DEPTH) for i, a in enumerate("xyz"))
+_STARS = f"""coded AS (SELECT *, {", ".join(f"CASE WHEN abs({a}::DOUBLE) <= {HALF} THEN least({(1 << CODE_DEPTH) - 1}, floor(({a}::DOUBLE + {HALF}) / {2 * HALF} * {1 << CODE_DEPTH}))::BIGINT END AS j{a}" for a in "xyz")}
+  FROM points WHERE isfinite(luminosity) AND luminosity > 0),
+s AS (SELECT *, morton >> {3 * (CODE_DEPTH - DEPTH)} AS leaf FROM (SELECT DISTINCT dataset, source_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, luminosity::DOUBLE AS luminosity, bp_rp::DOUBLE AS bp_rp,
+  coalesce(morton, {_CELL_OF}) AS morton FROM coded) WHERE morton IS NOT NULL)"""
+COUNTS = f"""{_STARS}, cap AS (SELECT dataset, max(capacity)::BIGINT AS budget FROM reservoirs GROUP BY 1),
+c AS (SELECT c0.*, coalesce(budget, 0) AS budget FROM (SELECT dataset, d::INT AS depth, leaf >> (3 * ({DEPTH} - d))::INT AS prefix, count(*) AS n, sum(luminosity) AS light FROM s, range({DEPTH + 1}) r(d) GROUP BY ALL) c0
+  LEFT JOIN cap USING (dataset))"""
 _MASKS = "k AS (SELECT dataset, depth - 1 AS depth, prefix >> 3 AS prefix, bit_or((1 << (prefix & 7)::INT)::INT) AS child_mask FROM c WHERE depth > 0 GROUP BY ALL)"
 NODES = f"""{COUNTS}, {_MASKS},
-n0 AS (SELECT c.dataset, c.depth, c.prefix, n, coalesce(child_mask, 0) AS child_mask, CASE WHEN c.depth = {DEPTH} THEN n WHEN n > {SAMPLE} THEN {SAMPLE} ELSE 0 END AS point_count,
+n0 AS (SELECT c.dataset, c.depth, c.prefix, n, coalesce(child_mask, 0) AS child_mask, CASE WHEN c.depth = {DEPTH} THEN n WHEN n > budget THEN budget ELSE 0 END AS point_count,
   c.prefix << (3 * ({DEPTH} - c.depth)) AS pre, (c.prefix >> 3) << (3 * ({DEPTH} - c.depth + 1)) AS up FROM c LEFT JOIN k USING (dataset, depth, prefix)),
 n1 AS (SELECT *, coalesce(sum(point_count) OVER (PARTITION BY dataset ORDER BY pre, depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS point_first,
   row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN depth = 0 THEN -1 ELSE up END, depth, prefix) - 1 AS node FROM n0),
@@ -119,9 +135,9 @@ def mixed(rows: str, x: str, name: str) -> str:
     return f"(SELECT * EXCLUDE (m1, m2, m3), xor(m3, m3 >> 31) AS {name} FROM ({c}))"
 
 
-_SEEDED = mixed(f"(SELECT * FROM c WHERE n > {SAMPLE} AND depth < {DEPTH})", "xor(prefix::UBIGINT, depth::UBIGINT << 56)", "seed")
-_HASHED = mixed(f"(SELECT s.*, g.depth, g.prefix, g.n, g.seed FROM s JOIN {_SEEDED} g ON s.dataset = g.dataset AND s.leaf >> (3 * ({DEPTH} - g.depth))::INT = g.prefix)", "xor(source_id::UBIGINT, seed)", "h")
-SAMPLED_ROWS = f"b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, depth, prefix ORDER BY h, source_id) AS r FROM {_HASHED}) WHERE r <= {SAMPLE})"
+_SEEDED = mixed(f"(SELECT * FROM c WHERE n > budget AND budget > 0 AND depth < {DEPTH})", "xor(prefix::UBIGINT, depth::UBIGINT << 56)", "seed")
+_HASHED = mixed(f"(SELECT s.*, g.depth, g.prefix, g.n, g.budget, g.seed FROM s JOIN {_SEEDED} g ON s.dataset = g.dataset AND s.leaf >> (3 * ({DEPTH} - g.depth))::INT = g.prefix)", "xor(source_id::UBIGINT, seed)", "h")
+SAMPLED_ROWS = f"b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, depth, prefix ORDER BY h, source_id) AS r FROM {_HASHED}) WHERE r <= budget)"
 _SAMPLED = f"{COUNTS}, {SAMPLED_ROWS}"
 _ROOT = mixed("(SELECT * FROM s, " + mixed("(SELECT 0 AS zero)", "zero", "seed") + " z)", "xor(source_id::UBIGINT, seed)", "h")
 _BOX = " AND ".join(f"{a}::DOUBLE BETWEEN {lo} AND {hi}" for a, lo, hi in zip("xyz", LOW, HIGH))
@@ -136,13 +152,14 @@ SQL: dict[str, str] = {
     "node_layout": f"WITH {NODES} SELECT * FROM t",
     "node_sample": f"WITH {_SAMPLED} SELECT dataset, depth, prefix, source_id, n FROM b",
     "root_sample": f"WITH {_STARS} SELECT dataset, source_id FROM {_ROOT} ORDER BY h, source_id LIMIT {SAMPLE}",
-    "flux_conservation": f"""WITH {_SAMPLED}, l AS (SELECT dataset, depth, sum(light) AS light FROM c WHERE n > {SAMPLE} GROUP BY ALL)
-SELECT dataset, depth, count(*) AS samples, round(sum(luminosity * n / {SAMPLE}), 2) AS sampled, round(max(l.light), 2) AS light FROM b JOIN l USING (dataset, depth) GROUP BY ALL""",
-    "point_table": f"""WITH {_SAMPLED}, u AS (SELECT dataset, depth, prefix, luminosity * n / {SAMPLE} AS l FROM b UNION ALL SELECT dataset, {DEPTH}, leaf, luminosity FROM s)
+    "flux_conservation": f"""WITH {_SAMPLED}, l AS (SELECT dataset, depth, sum(light) AS light FROM c WHERE n > budget AND budget > 0 GROUP BY ALL)
+SELECT dataset, depth, count(*) AS samples, round(sum(luminosity * n / budget), 2) AS sampled, round(max(l.light), 2) AS light FROM b JOIN l USING (dataset, depth) GROUP BY ALL""",
+    "point_table": f"""WITH {_SAMPLED}, u AS (SELECT dataset, depth, prefix, luminosity * n / budget AS l FROM b UNION ALL SELECT dataset, {DEPTH}, leaf, luminosity FROM s)
 SELECT dataset, depth, count(*) AS points, count(DISTINCT prefix) AS nodes, round(sum(l), 2) AS light FROM u GROUP BY ALL""",
+    "point_places": f"WITH {NODES} SELECT dataset, depth, prefix, point_first AS first, point_first + point_count - 1 AS last, point_count AS points FROM t WHERE point_count > 0",
     "subtree_counts": f"WITH {NODES} SELECT dataset, d::INT AS depth, prefix >> (3 * (depth - d))::INT AS prefix, sum(point_count)::BIGINT AS subtree_points FROM t, range({DEPTH + 1}) r(d) WHERE d <= depth GROUP BY ALL",
-    "box_query": f"SELECT DISTINCT dataset, source_id FROM points WHERE morton IS NOT NULL AND {_BOX}",
-    "radius_query": f"SELECT DISTINCT dataset, source_id, round({_DIST}, 6) AS distance FROM points WHERE morton IS NOT NULL AND {_DIST} <= {RADIUS}",
+    "box_query": f"SELECT DISTINCT dataset, source_id FROM points WHERE {_BOX}",
+    "radius_query": f"SELECT DISTINCT dataset, source_id, round({_DIST}, 6) AS distance FROM points WHERE {_DIST} <= {RADIUS}",
     "sphere_cells": f"WITH {COUNTS}, x AS (SELECT *, {BOXES} FROM c) SELECT dataset, depth, prefix, n FROM x WHERE {_GAPS} <= {RADIUS * RADIUS}",
     "stored_nodes": """WITH n AS (SELECT DISTINCT * FROM nodes), k AS (SELECT dataset, depth - 1 AS depth, prefix >> 3 AS prefix, bit_or((1 << (prefix & 7)::INT)::INT) AS mask, min(node) AS first FROM n WHERE depth > 0 GROUP BY ALL)
 SELECT n.dataset, node, n.depth, n.prefix FROM n LEFT JOIN k USING (dataset, depth, prefix) WHERE n.depth < 9 AND (mask IS DISTINCT FROM child_mask OR first IS DISTINCT FROM first_child)""",

@@ -9,17 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.common import Scratch, table
+from skyfold.functions.astro import RAMP
 from skyfold.functions.camera import Camera, default_exposure, galactic_view
 from skyfold.functions.motion import speeds
 from skyfold.operators import octree as T
 from skyfold.operators import raster as R
 from skyfold.plans import tree
+from skyfold.sources.labels import faded
 from skyfold.streaming.views import accepted_views, view_events
 
 INSIDE = Camera(eye=(0.0, 0.0, 0.0), direction=(-0.05, -0.87, -0.48), upward=(0.0, 0.0, 1.0), width=192, height=108, fov=60.0, far=5000.0)
 ASIDE = replace(INSIDE, eye=(3000.0, 0.0, 0.0))
-ABOVE = galactic_view(tree.HALF, 96, 96, half_width=4000.0)
-PIXELS = 16.0
+#: The whole cube from the galactic north, a quarter of full HD along each side.
+ABOVE = galactic_view(tree.HALF, 480, 270)
+#: Nodes below so many pixels end a cut, and are merged into what a client draws at once; the views are small, so the latter is, too.
+PIXELS, MERGE_PIXELS = 16.0, 32.0
+#: Limits of a client, smaller than a real one's so that they matter on small tables: bytes of a batch, free slots, points of a chunk.
+BATCH_BYTES, SLOTS, CHUNK_POINTS = 1 << 14, 4, 2048
 
 
 def viewed(spark: SparkSession, sf: str, camera: Camera = INSIDE) -> DataFrame:
@@ -41,10 +47,41 @@ def wanted_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fetch_batches(spark: SparkSession, sf: str) -> DataFrame:
-    found = T.fetch_batches(T.wanted_nodes(viewed(spark, sf), tree.KEYS), tree.KEYS, 20, 1 << 20)
+    found = T.fetch_batches(T.wanted_nodes(viewed(spark, sf), tree.KEYS), tree.KEYS, 20, BATCH_BYTES)
     return found.withColumn("priority", F.round("priority", 6))
 
 
+def fetch_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """What a client that has the nodes of the view 3,000 pc aside asks for first when it moves to the view inside."""
+    before, after = (T.wanted_nodes(viewed(spark, sf, c), tree.KEYS) for c in (ASIDE, INSIDE))
+    missing = after.join(before.select("dataset", "depth", "prefix"), ["dataset", "depth", "prefix"], "left_anti")
+    found = T.next_fetches(T.fetch_batches(missing, tree.KEYS, 20, BATCH_BYTES), tree.KEYS, SLOTS)
+    return found.withColumn("priority", F.round("priority", 6))
+
+
+def load_state(spark: SparkSession, sf: str) -> DataFrame:
+    """After such a move, while the first requests are on their way: nodes that are there, in flight, and wanted."""
+    before, after = (T.wanted_nodes(viewed(spark, sf, c), tree.KEYS) for c in (ASIDE, INSIDE))
+    missing = after.join(before.select("dataset", "depth", "prefix"), ["dataset", "depth", "prefix"], "left_anti")
+    asked = T.next_fetches(T.fetch_batches(missing, tree.KEYS, 20, BATCH_BYTES), tree.KEYS, SLOTS)
+    span = missing.join(asked.select("dataset", "first", "points"), "dataset").where("point_first >= first and point_first < first + points")  # at most SLOTS rows a tree
+    return T.load_progress(after, before, span, tree.KEYS)
+
+
+def _chunks(spark: SparkSession, sf: str, camera: Camera) -> DataFrame:
+    """Chunks of a view drawn from the nodes of the view aside."""
+    return T.chunks(viewed(spark, sf, camera), T.wanted_nodes(viewed(spark, sf, ASIDE), tree.KEYS), tree.KEYS, MERGE_PIXELS, CHUNK_POINTS)
+
+
+def chunk_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf, INSIDE)
+
+
+def chunk_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """What changes on the screen from the view aside to the view inside before anything is fetched."""
+    return T.changed_chunks(_chunks(spark, sf, ASIDE), _chunks(spark, sf, INSIDE), tree.KEYS)
+
+
 def cache_delta(spark: SparkSession, sf: str) -> DataFrame:
     """From the view inside to the same view from 3,000 pc aside: nodes to fetch, keep and evict, and their points."""
     before, after = (viewed(spark, sf, c) for c in (INSIDE, ASIDE))
@@ -56,16 +93,16 @@ def cache_delta(spark: SparkSession, sf: str) -> DataFrame:
 def camera_speeds(spark: SparkSession, sf: str) -> DataFrame:
     """Speed between the views of a session."""
     e = table(spark, sf, "events")
-    moves = view_events(e).join(e.select(F.col("event_id").alias("seq"), "ts"), "seq")
+    moves = view_events(e, "ts")
     found = speeds(moves, ["session"], "ts", "seq", "ex", "ey", "ez").where("speed is not null")
     return found.select("seq", "session", F.round("speed", 6).alias("speed"))
 
 
 def _cut_points(spark: SparkSession, sf: str, camera: Camera) -> DataFrame:
-    """The points of the cut: an equi-join of the point table with the cut's nodes."""
+    """The points of the cut's nodes; only these are sampled."""
     cut = T.lod_cut(viewed(spark, sf, camera), tree.KEYS).select("dataset", "depth", "prefix")
-    points = T.all_points(tree.stars(spark, sf), tree.KEYS, "leaf", "source_id", tree.DEPTH, tree.SAMPLE)
-    return points.join(cut, ["dataset", "depth", "prefix"])
+    cut = Scratch(spark).write(cut, "cut")
+    return T.all_points(tree.stars(spark, sf), tree.KEYS, "leaf", "source_id", tree.DEPTH, tree.budget(spark, sf), only=cut)
 
 
 def cut_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,28 +129,33 @@ def tonemapped(spark: SparkSession, sf: str) -> DataFrame:
     return R.tonemap(R.rasterize(tree.stars(spark, sf), ABOVE))
 
 
+def _images(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The images of all stars and of the cut, written once: at most a row for each pixel."""
+    scratch = Scratch(spark)
+    return scratch.write(tonemapped(spark, sf), "exact"), scratch.write(render_fast(spark, sf), "fast")
+
+
 def image_compare(spark: SparkSession, sf: str) -> DataFrame:
     """The view from the cut against the view from all stars."""
-    report, _ = R.compare(tonemapped(spark, sf), render_fast(spark, sf), ABOVE.width, ABOVE.height)
+    report, _ = R.compare(*_images(spark, sf), ABOVE.width, ABOVE.height)
     return report
 
 
 def worst_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    _, tiles = R.compare(tonemapped(spark, sf), render_fast(spark, sf), ABOVE.width, ABOVE.height)
+    _, tiles = R.compare(*_images(spark, sf), ABOVE.width, ABOVE.height)
     return tiles.withColumn("rmse", F.round("rmse", 9)).orderBy(F.desc("rmse"), "tx", "ty").limit(5)
 
 
 def image_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return R.difference(tonemapped(spark, sf), render_fast(spark, sf))
+    return R.difference(*_images(spark, sf))
 
 
 def labels_fade(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of the brightest star of each file, faded with the distance from the camera."""
     s = tree.stars(spark, sf).join(table(spark, sf, "canonical_rows").select("source_id", "input_name").distinct(), "source_id")
     best = s.groupBy("input_name").agg(F.max(F.struct("luminosity", "source_id", "x", "y", "z")).alias("s"))
-    dist = F.sqrt(F.col("s.x") * F.col("s.x") + F.col("s.y") * F.col("s.y") + F.col("s.z") * F.col("s.z"))
-    alpha = 1 - F.least(F.greatest((dist - 1200) / 400, F.lit(0.0)), F.lit(1.0))
-    return best.select("input_name", F.round(alpha, 6).alias("alpha")).where("alpha > 0")
+    shown = faded(best.select("input_name", "s.x", "s.y", "s.z"), (0.0, 0.0, 0.0), 1200.0, 1600.0)
+    return shown.select("input_name", F.round("alpha", 6).alias("alpha")).where("alpha > 0")
 
 
 def view_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +164,7 @@ def view_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (frustum_leaves, lod_cut, wanted_nodes, fetch_batches, cut_points, render_exact, render_inside, render_fast, tonemapped, image_compare, worst_tiles, image_difference, labels_fade, cache_delta, camera_speeds, view_hysteresis)
+    f.__name__: f for f in (frustum_leaves, lod_cut, wanted_nodes, fetch_batches, fetch_schedule, load_state, chunk_merge, chunk_updates, cut_points, render_exact, render_inside, render_fast, tonemapped, image_compare, worst_tiles, image_difference, labels_fade, cache_delta, camera_speeds, view_hysteresis)
 }
 
 
@@ -157,6 +199,37 @@ def _wanted_from(c: Camera) -> str:
   AND b.depth > o.depth AND b.prefix >> (3 * greatest(b.depth - o.depth, 0))::INT = o.prefix)))"""
 
 
+def _batches(rows: str) -> str:
+    """SQL: greedy batches of adjoining nodes of rows; the last CTE is batches."""
+    cap = BATCH_BYTES // 20
+    return f"""g AS (SELECT *, coalesce((lag(point_first + point_count) OVER a <> point_first)::INT, 1) AS gap FROM {rows} WINDOW a AS (PARTITION BY dataset ORDER BY point_first, depth)),
+e AS (SELECT *, sum(gap) OVER (PARTITION BY dataset ORDER BY point_first, depth) AS run FROM g),
+nth AS MATERIALIZED (SELECT dataset, run, point_first, point_count, footprint, row_number() OVER (PARTITION BY dataset, run ORDER BY point_first, depth) AS i FROM e),
+walk AS (SELECT *, 0 AS batch, point_count AS held FROM nth WHERE i = 1 UNION ALL
+  SELECT n.*, CASE WHEN w.held + n.point_count > {cap} THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.held + n.point_count > {cap} THEN n.point_count ELSE w.held + n.point_count END
+  FROM walk w JOIN nth n ON n.dataset = w.dataset AND n.run = w.run AND n.i = w.i + 1),
+batches AS (SELECT dataset, min(point_first) AS first, sum(point_count)::BIGINT AS points, count(*) AS nodes, round(max(footprint), 6) AS priority, max(footprint) AS exact FROM walk GROUP BY dataset, run, batch)"""
+
+
+_MISSING = f"before_ AS {_wanted_from(ASIDE)}, after_ AS {_wanted_from(INSIDE)}, missing AS (SELECT a.* FROM after_ a ANTI JOIN before_ b USING (dataset, depth, prefix))"
+
+
+def _chunks_sql(c: Camera) -> str:
+    """SQL: chunks_, of the view of c drawn from the nodes wanted aside."""
+    up = lambda a, b: f"{a}.dataset = {b}.dataset AND {a}.prefix >> (3 * greatest({a}.depth - {b}.depth, 0))::INT = {b}.prefix"
+    return f"""have AS {_wanted_from(ASIDE)}, {_viewed(c)},
+x0 AS (SELECT o.*, h.n IS NOT NULL AS got FROM o LEFT JOIN have h USING (dataset, depth, prefix) WHERE o.terminal AND o.point_count > 0),
+sums AS (SELECT dataset, d::INT AS depth, prefix >> (3 * (depth - d))::INT AS prefix, count(*) AS total, count(*) FILTER (got) AS cached, sum(point_count)::BIGINT AS pts,
+  coalesce(sum(point_count) FILTER (got), 0)::BIGINT AS cp, coalesce(sum(node) FILTER (got), 0)::BIGINT AS token FROM x0, range({tree.DEPTH + 1}) r(d) WHERE d <= depth GROUP BY ALL),
+stops AS (SELECT dataset, depth, prefix FROM v WHERE (terminal OR footprint < {MERGE_PIXELS}) AND child_mask <> 0),
+walked AS (SELECT v.dataset, v.depth, v.prefix, terminal OR footprint < {MERGE_PIXELS} AS stop, coalesce(total, 0) AS total, coalesce(cached, 0) AS cached, coalesce(pts, 0) AS pts, coalesce(cp, 0) AS cp, coalesce(token, 0) AS token
+  FROM v LEFT JOIN sums USING (dataset, depth, prefix) WHERE NOT EXISTS (SELECT 1 FROM stops q WHERE q.depth < v.depth AND {up('v', 'q')})),
+st AS (SELECT w.*, NOT EXISTS (SELECT 1 FROM walked b WHERE b.stop AND b.total <> b.cached AND b.depth >= w.depth AND {up('b', 'w')}) AND (stop OR pts <= {CHUNK_POINTS}) AS whole FROM walked w),
+br AS (SELECT s.*, EXISTS (SELECT 1 FROM st k WHERE k.dataset = s.dataset AND k.depth = s.depth + 1 AND k.prefix >> 3 = s.prefix AND NOT k.whole) AS broken FROM st s),
+chunks_ AS (SELECT s.dataset, s.depth, s.prefix, s.cached AS nodes, s.cp AS points, s.token FROM br s LEFT JOIN br p ON p.dataset = s.dataset AND p.depth = s.depth - 1 AND p.prefix = s.prefix >> 3
+  WHERE s.cp > 0 AND ((NOT s.whole AND (s.stop OR NOT s.broken)) OR (s.whole AND (s.depth = 0 OR p.broken))))"""
+
+
 def _light(c: Camera, rows: str, exposure: float) -> str:
     """SQL: light per pixel of the stars in rows, as CTEs ending in h."""
     rel = {a: f"({a} - ({e!r}))" for a, e in zip("xyz", c.eye)}
@@ -164,10 +237,9 @@ def _light(c: Camera, rows: str, exposure: float) -> str:
     w, h = c.scale
     by = "depth" if c.fov else "1"
     inside = " AND ".join("(" + " + ".join(f"({n!r}) * {a}" for a, n in zip("xyz", p[:3])) + f" + ({p[3]!r})) >= 0" for p in c.planes())
-    stops = ((0.6, 0.7, 1.0), (1.0, 0.95, 0.9), (1.0, 0.85, 0.4), (1.0, 0.3, 0.1))
 
     def ramp(i: int) -> str:
-        blue, white, yellow, red = (s[i] for s in stops)
+        blue, white, yellow, red = (s[i] for s in RAMP)
         return f"""CASE WHEN bp_rp IS NULL OR NOT isfinite(bp_rp) THEN 1.0 WHEN t < 0.33 THEN {blue} + ({white} - {blue}) * (t - 0.0) / 0.33
     WHEN t < 0.66 THEN {white} + ({yellow} - {white}) * (t - 0.33) / 0.33 ELSE {yellow} + ({red} - {yellow}) * (t - 0.66) / 0.34 END"""
 
@@ -186,12 +258,13 @@ _S = tree.NODES.split(", c AS (")[0]
 
 def _cut_points_sql(c: Camera) -> str:
     """SQL: pts, the points of the cut."""
-    return f"""{_viewed(c)}, {tree.SAMPLED_ROWS}, u AS (SELECT dataset, depth, prefix, x, y, z, luminosity * n / {tree.SAMPLE} AS luminosity, bp_rp FROM b
+    return f"""{_viewed(c)}, {tree.SAMPLED_ROWS}, u AS (SELECT dataset, depth, prefix, x, y, z, luminosity * n / budget AS luminosity, bp_rp FROM b
   UNION ALL SELECT dataset, {tree.DEPTH}, leaf, x, y, z, luminosity, bp_rp FROM s), pts AS (SELECT u.* FROM u JOIN cut USING (dataset, depth, prefix))"""
 
 
 _FAST = f"fast AS (WITH {_light(ABOVE, 'pts', default_exposure(ABOVE))} {_BYTES})"
 _EXACT = f"exact AS (WITH {_light(ABOVE, 's', default_exposure(ABOVE))} {_BYTES})"
+_TILES = -(-ABOVE.width // R.TILE) * -(-ABOVE.height // R.TILE)
 _BOTH = f"""{_cut_points_sql(ABOVE)}, {_FAST}, {_EXACT}, both_ AS (SELECT coalesce(e.x, a.x) AS x, coalesce(e.y, a.y) AS y, {', '.join(f'coalesce(e.{k}, 0) AS e{k}, coalesce(a.{k}, 0) AS a{k}' for k in 'rgb')}
   FROM exact e FULL JOIN fast a ON e.x = a.x AND e.y = a.y),
 tiles AS (SELECT x // 64 * 64 AS tx, y // 64 * 64 AS ty, sqrt(sum(power((er - ar) / 255, 2) + power((eg - ag) / 255, 2) + power((eb - ab) / 255, 2))
@@ -201,14 +274,21 @@ SQL: dict[str, str] = {
     "frustum_leaves": f"WITH {_viewed(INSIDE)} SELECT dataset, prefix, point_count FROM v WHERE depth = {tree.DEPTH} AND seen",
     "lod_cut": f"WITH {_viewed(INSIDE)} SELECT dataset, depth, prefix, point_count FROM cut",
     "wanted_nodes": f"WITH {_WANTED} SELECT dataset, depth, prefix, point_first, point_count, round(footprint, 6) AS priority FROM w",
-    "fetch_batches": f"""WITH {_WANTED}, g AS (SELECT *, coalesce((lag(point_first + point_count) OVER a <> point_first)::INT, 1) AS gap FROM w WINDOW a AS (PARTITION BY dataset ORDER BY point_first, depth)),
-e AS (SELECT *, sum(gap) OVER (PARTITION BY dataset ORDER BY point_first, depth) AS run FROM g),
-u AS (SELECT *, floor((sum(point_count) OVER (PARTITION BY dataset, run ORDER BY point_first, depth) - 1) * 20 / 1048576) AS slice FROM e)
-SELECT dataset, min(point_first) AS first, sum(point_count)::BIGINT AS points, count(*) AS nodes, round(max(footprint), 6) AS priority FROM u GROUP BY dataset, run, slice""",
+    "fetch_batches": f"WITH RECURSIVE {_WANTED}, {_batches('w')} SELECT dataset, first, points, nodes, priority FROM batches",
+    "fetch_schedule": f"""WITH RECURSIVE {_MISSING}, {_batches('missing')}
+SELECT dataset, first, points, nodes, priority, i AS order FROM (SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY exact DESC, first))::INT AS i FROM batches) WHERE i <= {SLOTS}""".replace("AS order FROM", 'AS "order" FROM'),
+    "load_state": f"""WITH RECURSIVE {_MISSING}, {_batches('missing')},
+asked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY exact DESC, first) AS i FROM batches) WHERE i <= {SLOTS})
+SELECT a.dataset, count(*) FILTER (b.n IS NOT NULL) AS cached, count(*) FILTER (b.n IS NULL AND EXISTS (SELECT 1 FROM asked q WHERE q.dataset = a.dataset AND a.point_first >= q.first AND a.point_first < q.first + q.points)) AS in_flight, count(*) AS total
+FROM after_ a LEFT JOIN before_ b USING (dataset, depth, prefix) GROUP BY 1""",
+    "chunk_merge": f"WITH {_chunks_sql(INSIDE)} SELECT * FROM chunks_",
+    "chunk_updates": f"""WITH a AS (WITH {_chunks_sql(ASIDE)} SELECT * FROM chunks_), b AS (WITH {_chunks_sql(INSIDE)} SELECT * FROM chunks_)
+SELECT coalesce(a.dataset, b.dataset) AS dataset, coalesce(a.depth, b.depth) AS depth, coalesce(a.prefix, b.prefix) AS prefix, CASE WHEN b.token IS NULL THEN 'drop' ELSE 'send' END AS action, coalesce(b.points, 0) AS points
+FROM a FULL JOIN b ON a.dataset = b.dataset AND a.depth = b.depth AND a.prefix = b.prefix WHERE a.token IS DISTINCT FROM b.token""",
     "cut_points": f"WITH {_cut_points_sql(INSIDE)} SELECT dataset, depth, count(*) AS points, round(sum(luminosity), 2) AS light FROM pts GROUP BY ALL",
     "render_fast": f"WITH {_cut_points_sql(ABOVE)}, {_FAST} SELECT * FROM fast",
     "image_compare": f"""WITH {_BOTH}, f AS (SELECT sum(er + eg + eb)::BIGINT AS exact_flux, sum(ar + ag + ab)::BIGINT AS fast_flux, count(*) FILTER (greatest(er, eg, eb) > 127) AS exact_bright,
-  count(*) FILTER (greatest(ar, ag, ab) > 127) AS fast_bright, (4 - (SELECT count(*) FROM tiles WHERE rmse >= 0.05)) / 4 AS passing FROM both_)
+  count(*) FILTER (greatest(ar, ag, ab) > 127) AS fast_bright, ({_TILES} - (SELECT count(*) FROM tiles WHERE rmse >= 0.05)) / {_TILES} AS passing FROM both_)
 SELECT *, fast_flux / greatest(exact_flux, 1) AS flux_ratio, fast_bright / greatest(exact_bright, 1) AS bright_ratio, fast_flux / greatest(exact_flux, 1) BETWEEN 0.9 AND 1.1 AS flux_ok,
   abs(fast_bright / greatest(exact_bright, 1) - 1) <= 0.05 AS bright_ok, passing >= 0.8 AS tiles_ok FROM f""",
     "worst_tiles": f"WITH {_BOTH} SELECT tx, ty, round(rmse, 9) AS rmse FROM tiles ORDER BY tiles.rmse DESC, tx, ty LIMIT 5",

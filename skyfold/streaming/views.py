@@ -17,13 +17,13 @@ VIEW = "session long, seq long, ex double, ey double, ez double, zoom double, pi
 STATE = "ex double, ey double, ez double, zoom double, pixels double"
 
 
-def view_events(events: DataFrame) -> DataFrame:
-    """Views (VIEW) from user events: where each event's value and kind put the camera."""
+def view_events(events: DataFrame, *more: str) -> DataFrame:
+    """Views (VIEW) from user events: where each event's value and kind put the camera. more: columns to keep beside them."""
     k = F.coalesce(F.length("event_type"), F.lit(0)) % 7
     value = F.coalesce("value", F.lit(0.0))
     return events.select(
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (value * 20).alias("ex"), (value * (k - 3)).alias("ey"), F.lit(0.0).alias("ez"),
-        (F.lit(900.0) + (k * 10)).alias("zoom"), F.when(k == 0, 8.0).otherwise(16.0).alias("pixels"),
+        (F.lit(900.0) + (k * 10)).alias("zoom"), F.when(k == 0, 8.0).otherwise(16.0).alias("pixels"), *more,
     )
 
 

@@ -182,10 +182,152 @@ def test_cut_equals_the_recursive_walk(spark):
 
 
 def test_batches_join_adjoining_nodes(spark):
-    rows = [("t", 3, 0, 10, 1.0), ("t", 3, 10, 5, 3.0), ("t", 3, 20, 5, 2.0), ("t", 3, 25, 90, 1.0), ("t", 3, 115, 20, 1.0)]
+    rows = [("t", 3, 0, 10, 1.0), ("t", 3, 10, 5, 3.0), ("t", 3, 20, 5, 2.0), ("t", 3, 25, 90, 1.0), ("t", 3, 115, 20, 1.0), ("t", 3, 135, 300, 0.5), ("t", 3, 435, 1, 0.1)]
     df = spark.createDataFrame(rows, "k string, depth int, point_first long, point_count long, priority double")
-    got = sorted((r["first"], r.points, r.nodes, r.priority) for r in T.fetch_batches(df, ["k"], 1, 100).collect())
-    assert got == [(0, 15, 2, 3.0), (20, 95, 2, 2.0), (115, 20, 1, 1.0)]
+    batches = T.fetch_batches(df, ["k"], 1, 100)
+    got = sorted((r["first"], r.points, r.nodes, r.priority) for r in batches.collect())
+    assert got == [(0, 15, 2, 3.0), (20, 95, 2, 2.0), (115, 20, 1, 1.0), (135, 300, 1, 0.5), (435, 1, 1, 0.1)]
+    first = sorted((r.order, r["first"]) for r in T.next_fetches(batches, ["k"], 3).collect())
+    assert first == [(1, 0), (2, 20), (3, 115)]
+    assert T.fetch_batches(df.limit(0), ["k"], 1, 100).count() == 0
+
+
+def test_batches_equal_the_greedy_loop(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in "ab":
+        at = 0
+        for _ in range(300):
+            at += rng.choice([0, 0, 0, 7])
+            n = rng.randrange(1, 60)
+            rows.append((k, 1, at, n, rng.random()))
+            at += n
+    want = []
+    for k in "ab":
+        held = []
+        for _, _, at, n, p in [r for r in rows if r[0] == k] + [("", 0, -1, 0, 0)]:
+            if held and (at != held[-1][0] + held[-1][1] or sum(x[1] for x in held) + n > 100):
+                want.append((k, held[0][0], sum(x[1] for x in held), len(held), max(x[2] for x in held)))
+                held = []
+            held.append((at, n, p))
+    df = spark.createDataFrame(rows, "k string, depth int, point_first long, point_count long, priority double").repartition(5)
+    assert sorted((r.k, r["first"], r.points, r.nodes, r.priority) for r in T.fetch_batches(df, ["k"], 20, 2000).collect()) == sorted(want)
+
+
+def test_progress_and_changes(spark):
+    node = lambda *p: spark.createDataFrame([("t", 3, x) for x in p], "k string, depth int, prefix long")
+    r = T.load_progress(node(1, 2, 3, 4), node(1, 9), node(1, 2, 8), ["k"]).first()
+    assert (r.cached, r.in_flight, r.total) == (1, 1, 4)
+    chunk = lambda *p: spark.createDataFrame([("t", 3, x, t, n) for x, t, n in p], "k string, depth int, prefix long, token long, points long")
+    got = {(r.prefix, r.action, r.points) for r in T.changed_chunks(chunk((1, 5, 2), (2, 6, 2), (3, 7, 2)), chunk((2, 6, 2), (3, 8, 4), (4, 9, 1)), ["k"]).collect()}
+    assert got == {(1, "drop", 0), (3, "send", 4), (4, "send", 1)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunks_equal_the_recursive_walk(spark, seed):
+    rng = random.Random(seed)
+    leaves = [rng.choice([rng.randrange(8**4), rng.randrange(64)]) for _ in range(500)]
+    df = spark.createDataFrame([("t", i, 0.0, 0.0, 0.0, 1.0, 0.0, m) for i, m in enumerate(leaves)], STARS)
+    cam = Camera((30.0, -20.0, 5.0), (-1.0, 0.5, 0.1), (0.0, 0.0, 1.0), 200, 100, fov=50.0)
+    viewed = Scratch(spark).write(T.with_view(T.layout(df, ["k"], "leaf", 4, 6), cam, 100.0, 12.0), "viewed")
+    by = {(r.depth, r.prefix): r for r in viewed.collect()}
+    share = (1.0, 0.97, 0.8, 0.0)[seed]
+    cached = {x for x in by if rng.random() < share}
+    merge, most, out = 60.0, 40, {}
+
+    def cut(d, p):
+        r = by.get((d, p))
+        if r is None:
+            return []
+        if r.terminal:
+            return [(d, p)] if r.point_count else []
+        return [x for c in range(8) for x in cut(d + 1, p << 3 | c)]
+
+    points = lambda nodes: sum(by[x].point_count for x in nodes)
+
+    def emit(name, nodes):
+        if points(nodes):
+            out[name] = (len(nodes), points(nodes), sum(by[x].node for x in nodes))
+
+    def walk(d, p):
+        r = by[d, p]
+        mine = cut(d, p)
+        if r.terminal or r.footprint < merge:
+            have = [x for x in mine if x in cached]
+            if len(have) == len(mine):
+                return mine
+            emit((d, p), have)
+            return None
+        kids = {(d + 1, p << 3 | c): walk(d + 1, p << 3 | c) for c in range(8) if (d + 1, p << 3 | c) in by}
+        if any(v is None for v in kids.values()):
+            for name, v in kids.items():
+                if v is not None:
+                    emit(name, v)
+            return None
+        if points(mine) > most:
+            emit((d, p), mine)
+            return None
+        return mine
+
+    whole = walk(0, 0)
+    if whole is not None:
+        emit((0, 0), whole)
+    have = spark.createDataFrame([("t", d, p) for d, p in cached] or [("t", 99, 0)], "k string, depth int, prefix long")
+    got = {(r.depth, r.prefix): (r.nodes, r.points, r.token) for r in T.chunks(viewed, have, ["k"], merge, most).collect()}
+    assert got == out and (out or not cached)
+
+
+def test_box_reads_only_its_part_of_clustered_points(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [("t", i, *[rng.uniform(-100, 100) for _ in range(3)], 1.0, 0.0) for i in range(20_000)] + [("t", 90_000 + i, 1.0, 2.0, 3.0, 1.0, 0.0) for i in range(5)]
+    df = M.with_cell(spark.createDataFrame(rows, STARS.replace(", leaf long", "")), "prefix", "x", "y", "z", 100.0, 5).withColumn("depth", F.lit(5))
+    df = df.withColumn("prefix", F.when(F.col("source_id") < 90_000, F.col("prefix")))  # the last stars have no code
+    path = str(tmp_path / "points")
+    T.write_points(df, path, ["k"], 5, "source_id", 16)
+    low, high = (-20.0, -30.0, 10.0), (5.0, 0.0, 40.0)
+    found = T.box_query(spark.read.parquet(path), "prefix", 5, 100.0, low, high)
+    want = {r[1] for r in rows if all(a <= v <= b for a, v, b in zip(low, r[2:5], high))}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ids = found.select("source_id")
+        assert {r.source_id for r in ids.collect()} == want and want
+        plan = ids._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        scan = plan.collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(want) <= read < 0.6 * len(rows)
+    near = T.radius_query(spark.read.parquet(path), "prefix", 5, 100.0, (1.0, 2.0, 3.0), 9.0)
+    assert {r.source_id for r in near.collect()} == {r[1] for r in rows if math.dist(r[2:5], (1, 2, 3)) <= 9.0} >= {90_000, 90_004}
+
+
+def test_code_ranges_hold_every_cell_of_the_box():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ([rng.uniform(-12, 12) for _ in range(3)] for _ in range(2))
+        low, high = [min(x) for x in zip(a, b)], [max(x) for x in zip(a, b)]
+        ranges = T.code_ranges(low, high, 10.0, 4, most=rng.choice([1, 9, 64]))
+        assert ranges == sorted(ranges) and len(ranges) <= 64
+        cell = lambda v: min(15, int((v + 10) / 20 * 16))
+        for _ in range(40):
+            p = [rng.uniform(max(lo, -10), min(hi, 10)) if lo <= 10 and hi >= -10 and max(lo, -10) <= min(hi, 10) else None for lo, hi in zip(low, high)]
+            if None not in p:
+                code = sum(((cell(v) >> k) & 1) << (3 * k + axis) for axis, v in enumerate(p) for k in range(4))
+                assert any(lo <= code <= hi for lo, hi in ranges)
+
+
+def test_budgets_by_tree(spark):
+    df = spark.createDataFrame([(k, i, 0.0, 0.0, 0.0, 1.0, 0.0, i % 8) for k in ("a", "b", "c") for i in range(100)], STARS)
+    stars = df.withColumnRenamed("k", "t")
+    budget = spark.createDataFrame([("a", 10), ("b", 70)], "t string, k int")
+    root = {r.t: r.point_count for r in T.layout(stars, ["t"], "leaf", 1, budget).where("depth = 0").collect()}
+    assert root == {"a": 10, "b": 70, "c": 0}
+    kept = {r.t: (r.n, r.light) for r in T.samples(stars, ["t"], "leaf", "source_id", 1, budget).groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("luminosity") * F.col("boost")).alias("light")).collect()}
+    assert kept == {"a": (10, pytest.approx(100)), "b": (70, pytest.approx(100))}
+    only = spark.createDataFrame([("b", 0, 0), ("b", 1, 3)], "t string, depth int, prefix long")
+    some = T.all_points(stars, ["t"], "leaf", "source_id", 1, budget, only=only).groupBy("t", "depth").count().collect()
+    assert {(r.t, r.depth, r["count"]) for r in some} == {("b", 0, 70), ("b", 1, 13)}
 
 
 def test_cameras():

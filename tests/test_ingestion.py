@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skyfold.common import Scratch, clear_scratch, maybe_broadcast
+from skyfold.common import Scratch, clear_scratch, maybe_broadcast, with_place
 from skyfold.operators import manifest as L
 from skyfold.sources import metadata
 
@@ -81,11 +81,11 @@ def test_inputs_and_checksums(spark):
 def test_places_follow_the_order_whatever_the_partitions(spark):
     rows = [(k, i * 7919 % 1000, i) for k in ("a", None) for i in range(1000)] + [("hot", 1, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v long, id long").repartition(7)
-    for r in L.with_place(df, ["v", "id"], "place", ["k"]).groupBy("k").agg(F.collect_list(F.struct("place", "v", "id")).alias("x")).collect():
+    for r in with_place(df, ["v", "id"], "place", ["k"]).groupBy("k").agg(F.collect_list(F.struct("place", "v", "id")).alias("x")).collect():
         x = sorted(r.x)
         assert [p.place for p in x] == list(range(len(x))) and [(p.v, p.id) for p in x] == sorted((p.v, p.id) for p in x)
     assert {r.shard for r in L.shards(df, ["k", "v", "id"], 3).where("k = 'a'").collect()} == {0, 1, 2}
-    assert L.with_place(df.limit(0), ["v"], "place").count() == 0
+    assert with_place(df.limit(0), ["v"], "place").count() == 0
 
 
 def test_parts_are_whole_rows(spark):
