@@ -16,6 +16,7 @@ from skyfold.operators import octree as T
 from skyfold.operators import raster as R
 from skyfold.plans import tree
 from skyfold.sources.labels import faded
+from skyfold.streaming.cache import cache_answers, message_events
 from skyfold.streaming.views import accepted_views, view_events
 
 INSIDE = Camera(eye=(0.0, 0.0, 0.0), direction=(-0.05, -0.87, -0.48), upward=(0.0, 0.0, 1.0), width=192, height=108, fov=60.0, far=5000.0)
@@ -163,8 +164,13 @@ def view_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     return accepted_views(view_events(table(spark, sf, "events")), tree.HALF)
 
 
+def cache_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What clients ask for, evict and hold while messages come in."""
+    return cache_answers(message_events(table(spark, sf, "events")), SLOTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (frustum_leaves, lod_cut, wanted_nodes, fetch_batches, fetch_schedule, load_state, chunk_merge, chunk_updates, cut_points, render_exact, render_inside, render_fast, tonemapped, image_compare, worst_tiles, image_difference, labels_fade, cache_delta, camera_speeds, view_hysteresis)
+    f.__name__: f for f in (cache_states, frustum_leaves, lod_cut, wanted_nodes, fetch_batches, fetch_schedule, load_state, chunk_merge, chunk_updates, cut_points, render_exact, render_inside, render_fast, tonemapped, image_compare, worst_tiles, image_difference, labels_fade, cache_delta, camera_speeds, view_hysteresis)
 }
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
+from functools import reduce
 from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,25 +38,52 @@ def name_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.select(F.trim(text).alias("name")).where(F.length("name") > 0)
 
 
-def read_range(spark: SparkSession, path: str, first: int, last: int) -> bytes:
-    """Bytes first to last, both included, as a ranged request has them; the end is cut at the file's."""
+def read_range(path: str, first: int, last: int) -> bytes:
+    """Bytes first to last, both included, as a ranged request has them; the end is cut at the file's. Nothing else is read."""
     if first < 0 or last < first:
         raise ValueError(f"no range: {first}-{last}")
-    row = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, {first + 1}, {last - first + 1})").alias("part")).first()
-    return bytes(row.part)
+    with open(path, "rb") as f:
+        f.seek(first)
+        return f.read(last - first + 1)
 
 
 def bucket_listing(pages: DataFrame, text: str = "value", suffix: str = ".csv.gz") -> DataFrame:
-    """Keys of all pages of an XML bucket listing that end so, with the marker of each page's end."""
+    """Keys of all pages of an XML bucket listing that end so."""
     keys = F.transform(F.expr(f"xpath({text}, '//*[local-name()=\"Key\"]/text()')"), lambda k: F.trim(k))
     return pages.select(F.explode(keys).alias("key")).where(F.endswith("key", F.lit(suffix))).distinct()
 
 
+def next_markers(pages: DataFrame, text: str = "value") -> DataFrame:
+    """Of pages that say that the listing goes on, the marker of the next: the one that they name, or else their last key."""
+    get = lambda tag: F.trim(F.expr(f"xpath_string({text}, '//*[local-name()=\"{tag}\"]/text()')"))
+    last = F.element_at(F.expr(f"xpath({text}, '//*[local-name()=\"Key\"]/text()')"), -1)
+    named = F.nullif(get("NextMarker"), F.lit(""))
+    return pages.where(F.lower(get("IsTruncated")) == "true").select(F.coalesce(named, F.trim(last)).alias("marker"))
+
+
+def listing_pages(spark: SparkSession, fetch: Callable[[str | None], str]) -> DataFrame:
+    """All pages (value) of a listing: fetch(marker) gives a page's text, first without a marker, until one says that it is the last.
+
+    Pages come one after the other, as each names the next, and hold a thousand keys; a marker that repeats raises ValueError.
+    """
+    pages, marker, seen = [], None, set()
+    while True:
+        page = spark.createDataFrame([(fetch(marker),)], "value string")
+        pages.append(page)
+        following = next_markers(page).first()
+        if following is None or following.marker is None:
+            return reduce(DataFrame.unionByName, pages)
+        marker = following.marker
+        if marker in seen:
+            raise ValueError(f"the listing repeats marker {marker}")
+        seen.add(marker)
+
+
 def run_name(seconds: float | None = None) -> str:
     return md5(str(int(time.time() if seconds is None else seconds)).encode()).hexdigest()[:7]
 
 
-def object_prefix(path: Column, mount: str = "/mnt/gcs/") -> Column:
+def object_prefix(path: Column, mount: str) -> Column:
     """The path below the mount; NULL for any other."""
     return F.when(F.startswith(path, F.lit(mount)), F.substring(path, len(mount) + 1, 1 << 30))
 

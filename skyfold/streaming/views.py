@@ -65,14 +65,17 @@ def accepted_views(views: DataFrame, half: float) -> DataFrame:
 
 
 def accepted_view_stream(views: DataFrame, half: float) -> DataFrame:
-    """Streaming form, for views that arrive in order: keyed state survives between micro-batches."""
+    """Streaming form, for views that arrive in order: keyed state survives between micro-batches.
+
+    A session's rows of a micro-batch come in Arrow batches, which are walked one by one.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
-        kept, last = _walk(rows, last, half)
+        for rows in batches:
+            kept, last = _walk(rows.sort_values("seq"), last, half)
+            yield kept
         if last is not None:
             state.update(last)
-        yield kept
 
     return views.groupBy("session").applyInPandasWithState(run, VIEW, STATE, "append", "NoTimeout")

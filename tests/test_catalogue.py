@@ -21,6 +21,7 @@ from skyfold.operators import raster as R
 from skyfold.plans import ingest, tree, views
 from skyfold.sources import binary, images, labels, listing
 from skyfold.sources.csv_files import read_catalogue
+from skyfold.streaming import cache
 from skyfold.streaming.views import VIEW, accepted_view_stream, accepted_views, view_events
 
 
@@ -404,6 +405,12 @@ def test_binary_formats(spark, tmp_path):
     head, n, p = binary.read_index(spark, path)
     assert head == {"depth": 5, "half_extent": 1234.5, "nodes": 3, "points": 4}
     assert sorted(n.collect()) == sorted(nodes.collect()) and {tuple(r) for r in p.collect()} == {tuple(r) for r in points.collect()}
+    assert [r.place for r in binary.read_points(spark, path, 1, 2, step=1).orderBy("place").collect()] == [1, 2] and binary.read_points(spark, path, 3, 99).count() == 1
+    assert binary.read_nodes(spark, path, step=2).orderBy("node").collect() == nodes.orderBy("node").collect()
+    with pytest.raises(ValueError, match="number the rows"):
+        binary.write_index(nodes.where("node <> 1"), points, str(tmp_path / "gap.bin"), 5, 1234.5)
+    binary.write_index(nodes.limit(0), points.limit(0), str(tmp_path / "empty.bin"), 5, 1.0)
+    assert binary.read_points(spark, str(tmp_path / "empty.bin")).count() == 0 == binary.read_nodes(spark, str(tmp_path / "empty.bin")).count()
     for bad in (b"BOGUSMAG" + b"\0" * 24, b"short", open(path, "rb").read() + b"x"):
         (tmp_path / "bad.bin").write_bytes(bad)
         with pytest.raises(ValueError):
@@ -474,15 +481,20 @@ def test_listings(spark, tmp_path):
             (tmp_path / name / "tree.bin").write_bytes(b"0123456789")
     assert [r.name for r in listing.dataset_names(spark, str(tmp_path), "tree.bin").collect()] == ["a", "b-1"]
     assert {(r.path, r.length) for r in listing.list_files(spark, str(tmp_path), "a/tree.bin").collect()} == {("a/tree.bin", 10)}
-    assert listing.read_range(spark, str(tmp_path / "a" / "tree.bin"), 2, 4) == b"234" and listing.read_range(spark, str(tmp_path / "a" / "tree.bin"), 8, 99) == b"89"
+    assert listing.read_range(str(tmp_path / "a" / "tree.bin"), 2, 4) == b"234" and listing.read_range(str(tmp_path / "a" / "tree.bin"), 8, 99) == b"89"
     with pytest.raises(ValueError):
-        listing.read_range(spark, str(tmp_path / "a" / "tree.bin"), 4, 2)
+        listing.read_range(str(tmp_path / "a" / "tree.bin"), 4, 2)
     page = '<L xmlns="urn:x"><Contents><Key>g/a.csv.gz</Key></Contents><Contents><Key>g/b.txt</Key></Contents></L>'
     assert [r.key for r in listing.bucket_listing(spark.createDataFrame([(page,)], "value string")).collect()] == ["g/a.csv.gz"]
+    more = lambda keys, tail: "<L>" + "".join(f"<Contents><Key> {k} </Key></Contents>" for k in keys) + tail + "</L>"
+    site = {None: more(["a.csv.gz", "b.csv.gz"], "<IsTruncated>true</IsTruncated>"), "b.csv.gz": more(["c.txt"], "<IsTruncated>true</IsTruncated><NextMarker>m</NextMarker>"), "m": more(["d.csv.gz"], "<IsTruncated>false</IsTruncated>")}
+    assert sorted(r.key for r in listing.bucket_listing(listing.listing_pages(spark, site.__getitem__)).collect()) == ["a.csv.gz", "b.csv.gz", "d.csv.gz"]
+    with pytest.raises(ValueError):
+        listing.listing_pages(spark, lambda marker: site[None])
     assert listing.run_name(0) == "cfcd208"
     lines = spark.createDataFrame([(" a ",), ("",), ("k=v=w",)], "value string")
     assert [r.name for r in listing.name_lines(lines).collect()] == ["a", "k=v=w"] and [tuple(r) for r in listing.settings(lines).collect()] == [("k", "v=w")]
-    r = one(spark, a=listing.object_prefix(F.lit("/mnt/gcs/x/y")), b=listing.object_prefix(F.lit("/tmp/x")))
+    r = one(spark, a=listing.object_prefix(F.lit("/mnt/disk/x/y"), "/mnt/disk/"), b=listing.object_prefix(F.lit("/tmp/x"), "/mnt/disk/"))
     assert (r.a, r.b) == ("x/y", None)
 
 
@@ -492,3 +504,48 @@ def test_motion(spark):
     assert [r.speed for r in motion.speeds(df, ["k"], "t", "n", "x", "y", "z").orderBy("n").collect()] == [None, 3.0, None, 0.0]
     r = one(spark, m=motion.smoothed(F.array(F.lit(10.0), F.lit(20.0))), a=motion.speed_text(F.lit(motion.LIGHT * 2)), b=motion.speed_text(F.lit(motion.LIGHT * 5e6)), s=motion.slider(F.lit(0.5)))
     assert r.m == pytest.approx(11.0) and (r.a, r.b) == ("2.00 c", "5.00 Mc") and r.s == pytest.approx(10**1.5)
+
+
+def test_index_file_of_a_whole_tree(spark, sf, tmp_path):
+    """Build, write, read: ranges of the file are the nodes' points."""
+    one = tree.stars(spark, sf).where("dataset = '77cb2300'")
+    k = tree.budget(spark, sf)
+    nodes = T.layout(one, ["dataset"], "leaf", tree.DEPTH, k)
+    points = T.with_places(T.all_points(one, ["dataset"], "leaf", "source_id", tree.DEPTH, k), ["dataset"], tree.DEPTH, "source_id")
+    path = str(tmp_path / "tree.bin")
+    binary.write_index(nodes, points, path, tree.DEPTH, tree.HALF)
+    head, back, _ = binary.read_index(spark, path)
+    assert head["nodes"] == nodes.count() and head["points"] == points.count() == back.agg(F.sum("point_count")).first()[0]
+    for r in back.where("point_count > 0").orderBy(F.desc("point_count"), "node").limit(3).collect():
+        at = nodes.where(F.col("node") == r.node).first()
+        mine = points.where((F.col("depth") == at.depth) & (F.col("prefix") == at.prefix)).orderBy("source_id").collect()
+        got = binary.read_points(spark, path, r.point_first, r.point_count).orderBy("place").collect()
+        assert [np.float32(p.x) for p in mine] == [np.float32(p.x) for p in got] and len(got) == r.point_count
+
+
+def test_cache_in_batch_and_stream_agree(spark, sf, tmp_path):
+    messages = cache.message_events(spark.read.parquet(f"{sf}/events.parquet"))
+    batch = {(r.session, r.seq): (list(r.fetch), list(r.evicted), r.stale, r.cached, r.in_flight, r.total) for r in cache.cache_answers(messages, 5).collect()}
+    assert any(v[0] for v in batch.values()) and any(v[1] for v in batch.values()) and all(v[4] <= 5 for v in batch.values())
+    ordered = messages.orderBy("seq").toPandas()
+    for k, part in enumerate(np.array_split(np.arange(len(ordered)), 3)):
+        spark.createDataFrame(ordered.iloc[part], cache.MESSAGE).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema(cache.MESSAGE + ", k int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("k")
+    q = cache.cache_stream(stream, 5).writeStream.format("memory").queryName("answers").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.session, r.seq): (list(r.fetch), list(r.evicted), r.stale, r.cached, r.in_flight, r.total) for r in spark.sql("select * from answers").collect()}
+    assert got == batch
+
+
+def test_stale_replies_change_nothing():
+    state, fetch, *_ = cache.step(cache.EMPTY, "wanted", 1, [5, 3, 9, 5], 2)
+    assert fetch == [5, 3] and state == (1, [], [5, 3], [5, 3, 9])
+    same, fetch, evicted, stale = cache.step(state, "reply", 0, [5], 2)
+    assert same == state and fetch == [] and stale
+    state, fetch, evicted, stale = cache.step(state, "reply", 1, [5, 77], 2)
+    assert state == (1, [5], [3, 9], [5, 3, 9]) and fetch == [9] and not stale
+    state, fetch, evicted, _ = cache.step(state, "wanted", 1, [9, 4], 2)
+    assert evicted == [5] and state[1] == [] and fetch == []
+    state, *_ = cache.step(state, "wanted", 2, [1], 2)
+    assert state == (2, [], [1], [1])
