@@ -71,34 +71,33 @@ def clear_scratch(spark: SparkSession) -> None:
         _scratches.remove(s)
 
 
-def _width(c: Column, kind: T.DataType) -> Column:
-    """About the bytes of a value in memory."""
+def _width(c: str, kind: T.DataType, level: int = 0) -> str:
+    """About the bytes of a value in memory, as an expression."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
+        return f"(16L + coalesce(octet_length({c}), 0))"
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
-            each = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType).cast("long"))
-            return F.lit(16) + F.coalesce(each, F.lit(0))
-        return F.lit(16) + F.greatest(F.size(c), F.lit(0)) * 8
+            return f"(16L + coalesce(aggregate({c}, 0L, (n{level}, x{level}) -> n{level} + {_width(f'x{level}', kind.elementType, level + 1)}), 0L))"
+        return f"(16L + greatest(size({c}), 0) * 8)"
     if isinstance(kind, T.MapType):
-        return _width(F.map_keys(c), T.ArrayType(kind.keyType)) + _width(F.map_values(c), T.ArrayType(kind.valueType))
+        return f"({_width(f'map_keys({c})', T.ArrayType(kind.keyType), level)} + {_width(f'map_values({c})', T.ArrayType(kind.valueType), level)})"
     if isinstance(kind, T.StructType):
-        return reduce(lambda a, b: a + b, [_width(c[f.name], f.dataType) for f in kind], F.lit(8))
-    return F.lit(8)
+        return "(8L + " + " + ".join([_width(f"{c}.`{f.name}`", f.dataType, level) for f in kind] or ["0L"]) + ")"
+    return "8L"
 
 
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row in memory."""
-    return reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(16)).cast("long")
+    return F.expr(" + ".join(["16L", *[_width(f"`{f.name}`", f.dataType) for f in df.schema]]))
 
 
-def maybe_broadcast(df: DataFrame, scratch: Scratch | None = None, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, scratch: Scratch | None = None, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, **observed: Column) -> DataFrame:
     """df, written once, with a broadcast hint if its rows and bytes are within the bounds; else for a shuffle join that AQE may split.
 
-    Rows and bytes are counted by the job that writes it, so nothing is computed twice.
+    Rows and bytes are counted by the job that writes it, so nothing is computed twice. observed: as in Scratch.write.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    stored = scratch.write(df, f"side-{uuid.uuid4().hex[:8]}", rows=F.count(F.lit(1)), bytes=F.coalesce(F.sum(row_bytes(df)), F.lit(0)))
+    stored = scratch.write(df, f"side-{uuid.uuid4().hex[:8]}", rows=F.count(F.lit(1)), bytes=F.coalesce(F.sum(row_bytes(df)), F.lit(0)), **observed)
     return F.broadcast(stored) if scratch.seen["rows"] <= max_rows and scratch.seen["bytes"] <= max_bytes else stored
 
 

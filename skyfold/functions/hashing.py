@@ -14,41 +14,43 @@ STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _LOW = 0xFFFFFFFF
 
 
-def _low(c: Column) -> Column:
-    return c.bitwiseAND(F.lit(_LOW).cast("long"))
+# Expressions are texts, so that each step is parsed once instead of being built call by call.
+def _low(c: str) -> str:
+    return f"(({c}) & {_LOW}L)"
 
 
-def _high(c: Column) -> Column:
-    return F.shiftrightunsigned(c, 32)
+def _high(c: str) -> str:
+    return f"shiftrightunsigned({c}, 32)"
 
 
-def _join(low: Column, high: Column) -> Column:
+def _join(low: str, high: str) -> str:
     """high * 2^32 + low mod 2^64, for parts of less than 2^62."""
-    return F.shiftleft(high + _high(low), 32).bitwiseOR(_low(low))
+    return f"(shiftleft(({high}) + {_high(low)}, 32) | {_low(low)})"
 
 
-def wrapping_add(c: Column, k: int) -> Column:
-    return _join(_low(c) + (k & _LOW), _high(c) + (k >> 32))
+def wrapping_add(c: str, k: int) -> str:
+    return _join(f"{_low(c)} + {k & _LOW}L", f"{_high(c)} + {k >> 32}L")
 
 
-def wrapping_multiply(c: Column, k: int) -> Column:
+def wrapping_multiply(c: str, k: int) -> str:
     a, b = _low(c), _high(c)
-    k0, k1, k2, k3 = ((k >> (16 * i)) & 0xFFFF for i in range(4))
-    mid = F.shiftleft(a * k1, 16)
-    high = _high(a * k0) + _high(mid) + _low(a * k2) + _low(F.shiftleft(a * k3, 16)) + _low(b * k0) + _low(F.shiftleft(b * k1, 16))
-    return _join(_low(a * k0) + _low(mid), high)
+    k0, k1, k2, k3 = (f"{(k >> (16 * i)) & 0xFFFF}L" for i in range(4))
+    mid = f"shiftleft({a} * {k1}, 16)"
+    high = f"{_high(f'{a} * {k0}')} + {_high(mid)} + {_low(f'{a} * {k2}')} + {_low(f'shiftleft({a} * {k3}, 16)')} + {_low(f'{b} * {k0}')} + {_low(f'shiftleft({b} * {k1}, 16)')}"
+    return _join(f"{_low(f'{a} * {k0}')} + {_low(mid)}", high)
 
 
-def _folded(c: Column, bits: int) -> Column:
-    return c.bitwiseXOR(F.shiftrightunsigned(c, bits))
+def _folded(c: str, bits: int) -> str:
+    return f"({c} ^ shiftrightunsigned({c}, {bits}))"
 
 
 def with_splitmix64(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with the hash of a long as a signed long of the same bits; unsigned_order sorts it as unsigned."""
-    df = df.withColumn(name, wrapping_add(value.cast("long"), STEP))
+    at = f"`{name}`"
+    df = df.withColumn(name, value.cast("long")).withColumn(name, F.expr(wrapping_add(at, STEP)))
     for bits, k in ((30, FIRST), (27, SECOND)):
-        df = df.withColumn(name, _folded(F.col(name), bits)).withColumn(name, wrapping_multiply(F.col(name), k))
-    return df.withColumn(name, _folded(F.col(name), 31))
+        df = df.withColumn(name, F.expr(_folded(at, bits))).withColumn(name, F.expr(wrapping_multiply(at, k)))
+    return df.withColumn(name, F.expr(_folded(at, 31)))
 
 
 def unsigned_order(c: Column) -> Column:

@@ -14,23 +14,15 @@ def axis_index(v: Column, half: float, depth: int) -> Column:
     return F.when(F.abs(v) <= half, F.least(F.lit(scale - 1), F.floor((v + half) / (2 * half) * scale))).cast("long")
 
 
-def interleave(x: Column, y: Column, z: Column, depth: int) -> Column:
-    """Bit k of x, y, z becomes bit 3k, 3k + 1, 3k + 2."""
-    out = F.lit(0).cast("long")
-    for k in range(depth):
-        for axis, c in enumerate((x, y, z)):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long")), 3 * k + axis))
-    return out
+def interleave(x: str, y: str, z: str, depth: int) -> Column:
+    """Bit k of columns x, y, z becomes bit 3k, 3k + 1, 3k + 2."""
+    bits = [f"shiftleft(shiftright(`{c}`, {k}) & 1L, {3 * k + axis})" for k in range(depth) for axis, c in enumerate((x, y, z))]
+    return F.expr(" | ".join(bits))
 
 
-def deinterleave(code: Column, depth: int) -> tuple[Column, Column, Column]:
-    axes = []
-    for axis in range(3):
-        out = F.lit(0).cast("long")
-        for k in range(depth):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(code, 3 * k + axis).bitwiseAND(F.lit(1).cast("long")), k))
-        axes.append(out)
-    return tuple(axes)
+def deinterleave(code: str, depth: int) -> tuple[Column, Column, Column]:
+    """The three cell numbers of a column of codes."""
+    return tuple(F.expr(" | ".join(f"shiftleft(shiftright(`{code}`, {3 * k + axis}) & 1L, {k})" for k in range(depth))) for axis in range(3))
 
 
 def with_cell(df: DataFrame, name: str, x: str, y: str, z: str, half: float, depth: int) -> DataFrame:
@@ -40,8 +32,7 @@ def with_cell(df: DataFrame, name: str, x: str, y: str, z: str, half: float, dep
     """
     parts = ["__ix", "__iy", "__iz"]
     df = df.withColumns({p: axis_index(F.col(c), half, depth) for p, c in zip(parts, (x, y, z))})
-    i = [F.col(p) for p in parts]
-    return df.withColumn(name, interleave(*i, depth)).drop(*parts)
+    return df.withColumn(name, interleave(*parts, depth)).drop(*parts)
 
 
 def prefix_at(code: Column, leaf_depth: int, depth: int) -> Column:
@@ -51,7 +42,7 @@ def prefix_at(code: Column, leaf_depth: int, depth: int) -> Column:
 def with_bounds(df: DataFrame, half: float, depth: str = "depth", prefix: str = "prefix", max_depth: int = MAX_DEPTH) -> DataFrame:
     """df with the box of each cell: x0, y0, z0, x1, y1, z1."""
     side = F.lit(2 * half) / F.pow(F.lit(2.0), F.col(depth))
-    df = df.withColumns({f"{a}0": F.lit(-half) + i * side for a, i in zip("xyz", deinterleave(F.col(prefix), max_depth))})
+    df = df.withColumns({f"{a}0": F.lit(-half) + i * side for a, i in zip("xyz", deinterleave(prefix, max_depth))})
     return df.withColumns({f"{a}1": F.col(f"{a}0") + side for a in "xyz"})
 
 

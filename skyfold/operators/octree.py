@@ -73,9 +73,8 @@ def layout(stars: DataFrame, keys: Sequence[str], leaf: str, depth: int, k: int
     Counts and the table itself are written, as an index is: the walks over it read it many times.
     """
     keys, scratch = list(keys), Scratch(stars.sparkSession)
-    counts = scratch.write(level_counts(stars, keys, leaf, depth), "counts")
+    counts = scratch.write(_with_budget(level_counts(stars, keys, leaf, depth), keys, k), "counts")
     nodes = counts.join(child_masks(counts, keys), [*keys, "depth", "prefix"], "left").withColumn("child_mask", F.coalesce("child_mask", F.lit(0)))
-    nodes = _with_budget(nodes, keys, k)
     nodes = nodes.withColumn("point_count", F.when(F.col("depth") == depth, F.col("n")).when(F.col("n") > F.col("__k"), F.col("__k")).otherwise(0).cast("long")).drop("__k")
     pre = F.call_function("shiftleft", F.col("prefix"), (3 * (depth - F.col("depth"))).cast("int"))
     nodes = nodes.withColumn("__pre", pre).withColumn("__up", F.call_function("shiftleft", F.shiftright("prefix", 3), (3 * (depth - F.col("depth") + 1)).cast("int")))
@@ -89,29 +88,29 @@ def layout(stars: DataFrame, keys: Sequence[str], leaf: str, depth: int, k: int
     return nodes.select(*keys, "node", "depth", "prefix", "n", "child_mask", "first_child", "point_first", "point_count")
 
 
-def samples(stars: DataFrame, keys: Sequence[str], leaf: str, ident: str, depth: int, k: int | DataFrame, only: DataFrame | None = None) -> DataFrame:
+def samples(stars: DataFrame, keys: Sequence[str], leaf: str, ident: str, depth: int, k: int | DataFrame | None, only: DataFrame | None = None) -> DataFrame:
     """For every inner node with more than k stars, the k whose hash under the node's seed is smallest, ties by ident.
 
     Adds depth, prefix, n and boost (n / k): light times boost keeps the node's total light in expectation. Ranks are
-    limited before the shuffle, so a node sends at most k stars per task. k as in layout(). only: nodes (keys, depth,
-    prefix) whose samples are wanted, where not all are.
+    limited before the shuffle, so a node sends at most k stars per task. k as in layout(). only: rows of the node table
+    whose samples are wanted, where not all are; they say how many each has, and k isn't needed.
     """
     keys = list(keys)
     ids = [*keys, "depth", "prefix"]
-    counts = _with_budget(level_counts(stars, keys, leaf, depth).where(F.col("depth") < depth), keys, k).where("n > __k and __k > 0")
-    if only is not None:
-        counts = counts.join(maybe_broadcast(only.select(*ids).distinct()), ids, "left_semi")
+    if only is None:
+        counts = _with_budget(level_counts(stars, keys, leaf, depth).where(F.col("depth") < depth), keys, k).where("n > __k and __k > 0")
+    else:
+        counts = only.where((F.col("depth") < depth) & (F.col("point_count") > 0)).select(*ids, "n", F.col("point_count").alias("__k")).distinct()
     scratch = Scratch(stars.sparkSession)
-    counts = maybe_broadcast(with_node_seed(counts, "__seed"), scratch)
-    few = counts.agg(F.collect_set("depth").alias("levels"), F.max("__k").alias("most")).first()  # a number per level of the tree
-    levels = sorted(few["levels"]) or [0]
+    counts = maybe_broadcast(with_node_seed(counts, "__seed"), scratch, levels=F.collect_set("depth"), most=F.max("__k"))
+    levels = sorted(scratch.seen.get("levels") or [0])  # a number per level of the tree
     up = stars.withColumn("depth", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("prefix", _shift(leaf, 3 * (depth - F.col("depth"))))
     # A star meets its big ancestors only; small nodes have no sample.
     rows = up.join(counts, ids)
     rows = with_splitmix64(rows, "__h", F.col(ident).bitwiseXOR(F.col("__seed"))).withColumn("__h", unsigned_order(F.col("__h")))
     w = W.partitionBy(*ids).orderBy("__h", ident)
     # The largest budget as a number lets the ranks be limited in each task; each tree's own follows.
-    best = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= int(few["most"] or 1)).where(F.col("__r") <= F.col("__k"))
+    best = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= int(scratch.seen.get("most") or 1)).where(F.col("__r") <= F.col("__k"))
     return best.withColumn("boost", F.col("n") / F.col("__k")).drop("__h", "__r", "__seed", "__k")
 
 
@@ -122,7 +121,7 @@ def root_sample(stars: DataFrame, ident: str, k: int) -> DataFrame:
     return rows.withColumn("__h", unsigned_order(F.col("__h"))).orderBy("__h", ident).limit(k).drop("__h", "__seed", "__d", "__p")
 
 
-def all_points(stars: DataFrame, keys: Sequence[str], leaf: str, ident: str, depth: int, k: int | DataFrame, light: str = "luminosity", only: DataFrame | None = None) -> DataFrame:
+def all_points(stars: DataFrame, keys: Sequence[str], leaf: str, ident: str, depth: int, k: int | DataFrame | None, light: str = "luminosity", only: DataFrame | None = None) -> DataFrame:
     """The point table: every star in its leaf, and the boosted samples of the inner nodes. only: as in samples()."""
     leaves = stars.withColumns({"depth": F.lit(depth), "prefix": F.col(leaf)})
     if only is not None:

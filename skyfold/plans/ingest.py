@@ -69,7 +69,7 @@ def luminosity(spark: SparkSession, sf: str) -> DataFrame:
 
 def morton_cells(spark: SparkSession, sf: str) -> DataFrame:
     p = positions(spark, sf).where(in_cube())
-    i = M.deinterleave(F.col("leaf"), DEPTH)
+    i = M.deinterleave("leaf", DEPTH)
     return p.select("source_id", "leaf", *[c.alias(n) for c, n in zip(i, ("ix", "iy", "iz"))]).distinct()
 
 

@@ -101,9 +101,8 @@ def camera_speeds(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cut_points(spark: SparkSession, sf: str, camera: Camera) -> DataFrame:
     """The points of the cut's nodes; only these are sampled."""
-    cut = T.lod_cut(viewed(spark, sf, camera), tree.KEYS).select("dataset", "depth", "prefix")
-    cut = Scratch(spark).write(cut, "cut")
-    return T.all_points(tree.stars(spark, sf), tree.KEYS, "leaf", "source_id", tree.DEPTH, tree.budget(spark, sf), only=cut)
+    cut = Scratch(spark).write(T.lod_cut(viewed(spark, sf, camera), tree.KEYS).select("dataset", "depth", "prefix", "n", "point_count"), "cut")
+    return T.all_points(tree.stars(spark, sf), tree.KEYS, "leaf", "source_id", tree.DEPTH, None, only=cut)
 
 
 def cut_points(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,8 +61,8 @@ def test_colour_and_tone(spark):
 
 def test_morton_round_trip(spark):
     cells = [(3, 17, 42), (127, 126, 125), (0, 0, 0), (1023, 1023, 1023)]
-    df = spark.createDataFrame(cells, "x long, y long, z long").withColumn("m", M.interleave(F.col("x"), F.col("y"), F.col("z"), 10))
-    for r in df.select("*", *[c.alias(n) for c, n in zip(M.deinterleave(F.col("m"), 10), ("a", "b", "c"))]).collect():
+    df = spark.createDataFrame(cells, "x long, y long, z long").withColumn("m", M.interleave("x", "y", "z", 10))
+    for r in df.select("*", *[c.alias(n) for c, n in zip(M.deinterleave("m", 10), ("a", "b", "c"))]).collect():
         assert (r.a, r.b, r.c) == (r.x, r.y, r.z)
 
 
@@ -326,8 +326,8 @@ def test_budgets_by_tree(spark):
     assert root == {"a": 10, "b": 70, "c": 0}
     kept = {r.t: (r.n, r.light) for r in T.samples(stars, ["t"], "leaf", "source_id", 1, budget).groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("luminosity") * F.col("boost")).alias("light")).collect()}
     assert kept == {"a": (10, pytest.approx(100)), "b": (70, pytest.approx(100))}
-    only = spark.createDataFrame([("b", 0, 0), ("b", 1, 3)], "t string, depth int, prefix long")
-    some = T.all_points(stars, ["t"], "leaf", "source_id", 1, budget, only=only).groupBy("t", "depth").count().collect()
+    only = spark.createDataFrame([("b", 0, 0, 100, 70), ("b", 1, 3, 13, 13)], "t string, depth int, prefix long, n long, point_count long")
+    some = T.all_points(stars, ["t"], "leaf", "source_id", 1, None, only=only).groupBy("t", "depth").count().collect()
     assert {(r.t, r.depth, r["count"]) for r in some} == {("b", 0, 70), ("b", 1, 13)}
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skyfold.common import Scratch, clear_scratch, maybe_broadcast, with_place
+from skyfold.common import Scratch, clear_scratch, maybe_broadcast, row_bytes, with_place
 from skyfold.operators import manifest as L
 from skyfold.sources import metadata
 
@@ -112,3 +112,5 @@ def test_broadcasts_count_bytes(spark):
     hint = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
     assert hint(maybe_broadcast(rows)) and not hint(maybe_broadcast(rows, max_bytes=500_000)) and not hint(maybe_broadcast(rows, max_rows=99))
     assert maybe_broadcast(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([([("abc", [1, 2])], {"k": "value"}, None)], "a array<struct<s: string, n: array<int>>>, m map<string, string>, t string")
+    assert odd.select(row_bytes(odd).alias("n")).first().n == 16 + (16 + (8 + 19 + 32)) + (16 + 17) + (16 + 21) + 16
