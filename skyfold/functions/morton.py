@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ def with_cell(df: DataFrame, name: str, x: str, y: str, z: str, half: float, dep
     return df.withColumn(name, interleave(*parts, depth)).drop(*parts)
 
 
+def axis_cells(low: float, high: float, first: float, last: float, depth: int) -> tuple[int, int]:
+    """Numbers of the first and last of 2^depth cells of [first, last] that [low, high] meets; cells that it only touches count."""
+    n = 1 << depth
+    scale = n / (last - first)
+    return max(0, ceil((low - first) * scale) - 1), min(n - 1, floor((high - first) * scale))
+
+
 def prefix_at(code: Column, leaf_depth: int, depth: int) -> Column:
     return F.shiftright(code, 3 * (leaf_depth - depth))
 

@@ -276,6 +276,13 @@ def box_query(stars: DataFrame, code: str, depth: int, half: float, low: Sequenc
     return stars.where(near & inside)
 
 
+def cells_in_box(cells: DataFrame, half: float, depth: int, low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """Leaf cells (prefix) that the box meets or touches, by their numbers along each axis."""
+    ranges = [M.axis_cells(lo, hi, -half, half, depth) for lo, hi in zip(low, high)]
+    inside = reduce(lambda a, b: a & b, [c.between(*r) for c, r in zip(M.deinterleave("prefix", depth), ranges)])
+    return cells.where(inside)
+
+
 def radius_query(stars: DataFrame, code: str, depth: int, half: float, centre: Sequence[float], radius: float) -> DataFrame:
     """Stars within radius of centre, those at exactly the radius included; pruned as box_query, then exact."""
     box = box_query(stars, code, depth, half, [c - radius for c in centre], [c + radius for c in centre])

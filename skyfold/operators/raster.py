@@ -11,10 +11,11 @@ from skyfold.functions.camera import Camera, default_exposure
 SPLAT_FLOOR, FALLOFF, TILE, BRIGHT = 0.8, 4.0, 64, 127
 
 
-def rasterize(stars: DataFrame, camera: Camera, exposure: float | None = None, max_radius: float = 1.0) -> DataFrame:
+def rasterize(stars: DataFrame, camera: Camera, exposure: float | None = None, max_radius: float = 1.0, least: float = 0.0) -> DataFrame:
     """Rows (x, y, r, g, b): the light that falls on each pixel. Stars need x, y, z, luminosity, bp_rp.
 
-    Splats are at most (2 * ceil(max_radius) + 1) squared pixels; their sums are partly made before the shuffle.
+    Splats are at most (2 * ceil(max_radius) + 1) squared pixels; their sums are partly made before the shuffle. least:
+    what of a star falls on a pixel is left out below this light.
     """
     exposure = default_exposure(camera) if exposure is None else exposure
     x, y, z = (F.col(c).cast("double") for c in "xyz")
@@ -29,6 +30,8 @@ def rasterize(stars: DataFrame, camera: Camera, exposure: float | None = None, m
     splat = splat.withColumns({"x": F.col("px") + F.col("dx"), "y": F.col("py") + F.col("dy")}).where(F.col("x").between(0, camera.width - 1) & F.col("y").between(0, camera.height - 1))
     near = (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (F.col("radius") * F.col("radius"))
     value = F.col("light") * F.exp(-FALLOFF * near)
+    if least > 0:
+        splat = splat.where(value >= least)
     return splat.groupBy("x", "y").agg(*[F.sum(F.col(c) * value).alias(n) for c, n in (("cr", "r"), ("cg", "g"), ("cb", "b"))])
 
 

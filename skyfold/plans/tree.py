@@ -86,6 +86,11 @@ def box_query(spark: SparkSession, sf: str) -> DataFrame:
     return T.box_query(table(spark, sf, "points"), "morton", CODE_DEPTH, HALF, LOW, HIGH).select("dataset", "source_id").distinct()
 
 
+def box_cells(spark: SparkSession, sf: str) -> DataFrame:
+    leaves = T.leaf_counts(stars(spark, sf), KEYS, "leaf")
+    return T.cells_in_box(leaves, HALF, DEPTH, LOW, HIGH)
+
+
 def radius_query(spark: SparkSession, sf: str) -> DataFrame:
     found = T.radius_query(table(spark, sf, "points"), "morton", CODE_DEPTH, HALF, CENTRE, RADIUS)
     return found.select("dataset", "source_id", F.round("distance", 6).alias("distance")).distinct()
@@ -105,7 +110,7 @@ def stored_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (level_counts, child_masks, node_layout, node_sample, root_sample, flux_conservation, point_table, point_places, subtree_counts, box_query, radius_query, sphere_cells, stored_nodes)
+    f.__name__: f for f in (level_counts, child_masks, node_layout, node_sample, root_sample, flux_conservation, point_table, point_places, subtree_counts, box_query, box_cells, radius_query, sphere_cells, stored_nodes)
 }
 
 _CELL_OF = " + ".join(f"(((j{a} >> {k}) & 1) << {3 * k + i})" for k in range(CODE_DEPTH) for i, a in enumerate("xyz"))
@@ -159,6 +164,7 @@ SELECT dataset, depth, count(*) AS points, count(DISTINCT prefix) AS nodes, roun
     "point_places": f"WITH {NODES} SELECT dataset, depth, prefix, point_first AS first, point_first + point_count - 1 AS last, point_count AS points FROM t WHERE point_count > 0",
     "subtree_counts": f"WITH {NODES} SELECT dataset, d::INT AS depth, prefix >> (3 * (depth - d))::INT AS prefix, sum(point_count)::BIGINT AS subtree_points FROM t, range({DEPTH + 1}) r(d) WHERE d <= depth GROUP BY ALL",
     "box_query": f"SELECT DISTINCT dataset, source_id FROM points WHERE {_BOX}",
+    "box_cells": f"WITH {COUNTS}, x AS (SELECT *, {BOXES} FROM c WHERE depth = {DEPTH}) SELECT dataset, prefix, n FROM x WHERE {' AND '.join(f'{a}1 >= {lo} AND {a}0 <= {hi}' for a, lo, hi in zip('xyz', LOW, HIGH))}",
     "radius_query": f"SELECT DISTINCT dataset, source_id, round({_DIST}, 6) AS distance FROM points WHERE {_DIST} <= {RADIUS}",
     "sphere_cells": f"WITH {COUNTS}, x AS (SELECT *, {BOXES} FROM c) SELECT dataset, depth, prefix, n FROM x WHERE {_GAPS} <= {RADIUS * RADIUS}",
     "stored_nodes": """WITH n AS (SELECT DISTINCT * FROM nodes), k AS (SELECT dataset, depth - 1 AS depth, prefix >> 3 AS prefix, bit_or((1 << (prefix & 7)::INT)::INT) AS mask, min(node) AS first FROM n WHERE depth > 0 GROUP BY ALL)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +31,20 @@ def read_catalogue(spark: SparkSession, path: str, columns: dict[str, str] = STA
     return parsed.where("reason is null").drop("reason", "line_id"), rejects.select("input_name", "line", "reason")
 
 
+def _md5_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sums = []
+        for path in b.column(0).to_pylist():
+            with open(unquote(urlparse(path).path), "rb") as f:
+                sums.append(hashlib.file_digest(f, "md5").hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.string())], names=["path", "length", "md5"])
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (input_name, md5, length) of all files under path."""
+    """Rows (input_name, md5, length) of all files under path; on a mounted file system tasks read them piece by piece, else each is a row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("input_name"), F.md5("content").alias("md5"), "length")
+    if urlparse(path).scheme in ("", "file"):
+        files = files.select("path", "length").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_md5_of, "path string, length long, md5 string")
+    else:
+        files = files.select("path", "length", F.md5("content").alias("md5"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("input_name"), "md5", "length")

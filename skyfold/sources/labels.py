@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfold.sources.listing import read_optional
+
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Rows (name, x, y, z); a missing file has none, and places without three numbers are left out."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException:
-        return spark.createDataFrame([], "name string, x double, y double, z double")
+    text = read_optional(lambda: spark.read.text(path, wholetext=True), "value string")
     rows = text.select(F.explode(F.from_json("value", "map<string, array<double>>")).alias("name", "at")).where(F.size("at") == 3)
     return rows.select("name", *[F.col("at")[i].alias(a) for i, a in enumerate("xyz")])
 

@@ -79,6 +79,23 @@ def listing_pages(spark: SparkSession, fetch: Callable[[str | None], str]) -> Da
         seen.add(marker)
 
 
+def read_optional(read: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What read() gives, or no rows of schema where its path is missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return SparkSession.getActiveSession().createDataFrame([], schema)
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A job's state documents, one JSON object a file; none where the path is missing."""
+    return read_optional(lambda: spark.read.schema(schema).json(path, multiLine=True), schema)
+
+
 def run_name(seconds: float | None = None) -> str:
     return md5(str(int(time.time() if seconds is None else seconds)).encode()).hexdigest()[:7]
 

@@ -20,7 +20,7 @@ from skyfold.operators import octree as T
 from skyfold.operators import raster as R
 from skyfold.plans import ingest, tree, views
 from skyfold.sources import binary, images, labels, listing
-from skyfold.sources.csv_files import read_catalogue
+from skyfold.sources.csv_files import file_checksums, read_catalogue
 from skyfold.streaming import cache
 from skyfold.streaming.views import VIEW, accepted_view_stream, accepted_views, view_events
 
@@ -425,6 +425,10 @@ def test_catalogue_files(spark, tmp_path):
     for name, text in (("GaiaSource_000-001.csv.gz", a), ("GaiaSource_002-003.csv.gz", b)):
         with gzip.open(tmp_path / name, "wt") as f:
             f.write(text)
+    import hashlib
+
+    sums = {r.input_name: (r.md5, r.length) for r in file_checksums(spark, str(tmp_path)).collect()}
+    assert sums == {f.name: (hashlib.md5(f.read_bytes()).hexdigest(), f.stat().st_size) for f in tmp_path.iterdir()} and len(sums) == 2
     rows, rejects = read_catalogue(spark, str(tmp_path))
     counts = {r.input_name: (r.seen, r.positive) for r in rows.groupBy("input_name").agg(F.count("*").alias("seen"), F.count_if(A.positive_parallax(F.col("parallax"))).alias("positive")).collect()}
     assert counts == {"GaiaSource_000-001.csv.gz": (4, 2), "GaiaSource_002-003.csv.gz": (2, 1)} and rejects.count() == 0
@@ -549,3 +553,22 @@ def test_stale_replies_change_nothing():
     assert evicted == [5] and state[1] == [] and fetch == []
     state, *_ = cache.step(state, "wanted", 2, [1], 2)
     assert state == (2, [], [1], [1])
+
+
+def test_cells_that_a_range_meets(spark):
+    assert [M.axis_cells(1, 1, 0, 2, 1)] * 3 == [(0, 1)] * 3  # touching both
+    assert M.axis_cells(0.1, 0.2, 0, 2, 1) == (0, 0) and M.axis_cells(-5, 9, 0, 2, 3) == (0, 7) and M.axis_cells(0.5, 0.75, 0, 2, 3) == (1, 3)
+
+
+def test_state_documents(spark, tmp_path):
+    schema = "name string, counts struct<done: long>"
+    (tmp_path / "a.json").write_text('{\n "name": "a",\n "counts": {"done": 3}\n}')
+    assert [(r.name, r.counts.done) for r in listing.read_state(spark, str(tmp_path), schema).collect()] == [("a", 3)]
+    assert listing.read_state(spark, str(tmp_path / "missing"), schema).count() == 0
+
+
+def test_faint_parts_of_splats_are_left_out(spark):
+    df = spark.createDataFrame([("t", 1, 0.0, 0.0, 0.0, 1.0, 0.5, 0)], STARS)
+    cam = Camera((0.0, 0.0, 20.0), (0.0, 0.0, -1.0), (0.0, 1.0, 0.0), 40, 30, fov=60.0)
+    n = lambda least: R.rasterize(df, cam, 20.0, 1.0, least).count()
+    assert n(0.0) == 9 > n(1e-3) >= 1 and n(1e9) == 0
