@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from skyfold.functions.astro import colour, finite, half_up, tone
 from skyfold.functions.camera import Camera, default_exposure
 
+# The least radius of a splat, the fall of its light, the side of a tile, the byte above which a pixel is bright,
+# and how an image passes: the ratio of light, how far that of bright pixels may be from 1, the error of a tile and the share of tiles.
 SPLAT_FLOOR, FALLOFF, TILE, BRIGHT = 0.8, 4.0, 64, 127
+FLUX_RATIO, BRIGHT_OFF, TILE_ERROR, TILE_SHARE = (0.9, 1.1), 0.05, 0.05, 0.8
 
 
 def rasterize(stars: DataFrame, camera: Camera, exposure: float | None = None, max_radius: float = 1.0, least: float = 0.0) -> DataFrame:
@@ -52,7 +55,7 @@ def compare(exact: DataFrame, fast: DataFrame, width: int, height: int) -> tuple
     pixels = F.least(F.lit(TILE), width - F.col("tx")) * F.least(F.lit(TILE), height - F.col("ty"))
     tiles = both.groupBy(tx.alias("tx"), ty.alias("ty")).agg(F.sum(square).alias("sq")).select("tx", "ty", F.sqrt(F.col("sq") / (3 * pixels)).alias("rmse"))
     n = -(-width // TILE) * -(-height // TILE)
-    fails = tiles.agg(F.count_if(F.col("rmse") >= 0.05).alias("bad"))
+    fails = tiles.agg(F.count_if(F.col("rmse") >= TILE_ERROR).alias("bad"))
     flux = lambda p: F.sum(F.col(f"{p}r") + F.col(f"{p}g") + F.col(f"{p}b"))
     bright = lambda p: F.count_if(F.greatest(f"{p}r", f"{p}g", f"{p}b") > BRIGHT)
     sums = both.agg(flux("e").alias("exact_flux"), flux("f").alias("fast_flux"), bright("e").alias("exact_bright"), bright("f").alias("fast_bright")).crossJoin(fails)
@@ -63,7 +66,7 @@ def compare(exact: DataFrame, fast: DataFrame, width: int, height: int) -> tuple
         ((n - F.col("bad")) / n).alias("passing"),
     )
     return out.withColumns({
-        "flux_ok": F.col("flux_ratio").between(0.9, 1.1), "bright_ok": F.abs(F.col("bright_ratio") - 1) <= 0.05, "tiles_ok": F.col("passing") >= 0.8,
+        "flux_ok": F.col("flux_ratio").between(*FLUX_RATIO), "bright_ok": F.abs(F.col("bright_ratio") - 1) <= BRIGHT_OFF, "tiles_ok": F.col("passing") >= TILE_SHARE,
     }), tiles
 
 

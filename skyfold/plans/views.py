@@ -29,9 +29,14 @@ PIXELS, MERGE_PIXELS = 16.0, 32.0
 BATCH_BYTES, SLOTS, CHUNK_POINTS = 1 << 14, 4, 2048
 
 
+def views(spark: SparkSession, sf: str, *cameras: Camera) -> list[DataFrame]:
+    """The node table with what each camera makes of each node, written once for the walks that follow."""
+    nodes, scratch = tree.nodes(spark, sf), Scratch(spark)
+    return [scratch.write(T.with_view(nodes, c, tree.HALF, PIXELS), f"viewed-{i}") for i, c in enumerate(cameras)]
+
+
 def viewed(spark: SparkSession, sf: str, camera: Camera = INSIDE) -> DataFrame:
-    """The node table with what the camera makes of each node, written once for the walks that follow."""
-    return Scratch(spark).write(T.with_view(tree.nodes(spark, sf), camera, tree.HALF, PIXELS), "viewed")
+    return views(spark, sf, camera)[0]
 
 
 def frustum_leaves(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,40 +57,46 @@ def fetch_batches(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("priority", F.round("priority", 6))
 
 
+def _missing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes wanted 3,000 pc aside, nodes wanted inside, and those of the latter that a client with the former lacks."""
+    scratch = Scratch(spark)
+    before, after = (scratch.write(T.wanted_nodes(v, tree.KEYS), f"wanted-{i}") for i, v in enumerate(views(spark, sf, ASIDE, INSIDE)))
+    return before, after, after.join(before.select("dataset", "depth", "prefix"), ["dataset", "depth", "prefix"], "left_anti")
+
+
 def fetch_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """What a client that has the nodes of the view 3,000 pc aside asks for first when it moves to the view inside."""
-    before, after = (T.wanted_nodes(viewed(spark, sf, c), tree.KEYS) for c in (ASIDE, INSIDE))
-    missing = after.join(before.select("dataset", "depth", "prefix"), ["dataset", "depth", "prefix"], "left_anti")
-    found = T.next_fetches(T.fetch_batches(missing, tree.KEYS, 20, BATCH_BYTES), tree.KEYS, SLOTS)
+    found = T.next_fetches(T.fetch_batches(_missing(spark, sf)[2], tree.KEYS, 20, BATCH_BYTES), tree.KEYS, SLOTS)
     return found.withColumn("priority", F.round("priority", 6))
 
 
 def load_state(spark: SparkSession, sf: str) -> DataFrame:
     """After such a move, while the first requests are on their way: nodes that are there, in flight, and wanted."""
-    before, after = (T.wanted_nodes(viewed(spark, sf, c), tree.KEYS) for c in (ASIDE, INSIDE))
-    missing = after.join(before.select("dataset", "depth", "prefix"), ["dataset", "depth", "prefix"], "left_anti")
+    before, after, missing = _missing(spark, sf)
     asked = T.next_fetches(T.fetch_batches(missing, tree.KEYS, 20, BATCH_BYTES), tree.KEYS, SLOTS)
     span = missing.join(asked.select("dataset", "first", "points"), "dataset").where("point_first >= first and point_first < first + points")  # at most SLOTS rows a tree
     return T.load_progress(after, before, span, tree.KEYS)
 
 
-def _chunks(spark: SparkSession, sf: str, camera: Camera) -> DataFrame:
-    """Chunks of a view drawn from the nodes of the view aside."""
-    return T.chunks(viewed(spark, sf, camera), T.wanted_nodes(viewed(spark, sf, ASIDE), tree.KEYS), tree.KEYS, MERGE_PIXELS, CHUNK_POINTS)
+def _chunks(spark: SparkSession, sf: str, *cameras: Camera) -> list[DataFrame]:
+    """Chunks of views drawn from the nodes of the view aside."""
+    aside, *seen = views(spark, sf, ASIDE, *cameras)
+    have = Scratch(spark).write(T.wanted_nodes(aside, tree.KEYS), "have")
+    return [T.chunks(v, have, tree.KEYS, MERGE_PIXELS, CHUNK_POINTS) for v in seen]
 
 
 def chunk_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf, INSIDE)
+    return _chunks(spark, sf, INSIDE)[0]
 
 
 def chunk_updates(spark: SparkSession, sf: str) -> DataFrame:
     """What changes on the screen from the view aside to the view inside before anything is fetched."""
-    return T.changed_chunks(_chunks(spark, sf, ASIDE), _chunks(spark, sf, INSIDE), tree.KEYS)
+    return T.changed_chunks(*_chunks(spark, sf, ASIDE, INSIDE), tree.KEYS)
 
 
 def cache_delta(spark: SparkSession, sf: str) -> DataFrame:
     """From the view inside to the same view from 3,000 pc aside: nodes to fetch, keep and evict, and their points."""
-    before, after = (viewed(spark, sf, c) for c in (INSIDE, ASIDE))
+    before, after = views(spark, sf, INSIDE, ASIDE)
     delta = T.cache_delta(T.wanted_nodes(after, tree.KEYS), T.wanted_nodes(before, tree.KEYS), tree.KEYS)
     sized = delta.join(before.select("dataset", "depth", "prefix", "point_count"), ["dataset", "depth", "prefix"])
     return sized.groupBy("dataset", "action").agg(F.count("*").alias("nodes"), F.sum("point_count").alias("points"))

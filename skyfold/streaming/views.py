@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The share of the half side that a move must pass, and the ratio of zooms.
 MOVE, ZOOM = 0.02, 1.05
 VIEW = "session long, seq long, ex double, ey double, ez double, zoom double, pixels double"
 STATE = "ex double, ey double, ez double, zoom double, pixels double"
