@@ -86,8 +86,15 @@ def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return store.sample(thresholds).select("dataset", "source_id", "u")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' texts, spread over all cores where their files give fewer partitions, as reading texts is what takes long."""
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return texts.repartition(cores, "doc_id") if texts.rdd.getNumPartitions() < cores else texts
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", CONTAINER)
+    return pack(_texts(spark, sf), "doc_id", "text", CONTAINER)
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,11 +109,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), "doc_id", "item_id")
+    return find_leaks(_texts(spark, sf), table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
 def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return split_texts(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", PIECE, OVERLAP)
+    return split_texts(_texts(spark, sf), "doc_id", "text", PIECE, OVERLAP)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
